@@ -51,7 +51,8 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
 def draw(counted: DataFrame, rate: DataFrame, seed: int = 0) -> DataFrame:
     """``doc_id, source, n_tokens, repeats`` of every record that comes out at least once."""
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(PARTS)) / PARTS
-    drawn = counted.join(rate.select("source", "rate"), "source")
+    # one row per target: a table of weights that does not grow with the records
+    drawn = counted.join(F.broadcast(rate.select("source", "rate")), "source")
     repeats = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return drawn.select("doc_id", "source", "n_tokens", repeats.cast("bigint").alias("repeats")).filter("repeats > 0")
 

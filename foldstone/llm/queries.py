@@ -4,10 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldstone.llm import mix, pack, split
+from foldstone.llm import ann, cluster, mix, pack, split
 from foldstone.model import collection_of, table, text_or_empty
 
 
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "index_entries"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.similar_pairs(p2_nearest(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.neighbours_in_order(cluster.clusters(table(spark, sf_dir, "index_entries")))
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.describe(cluster.clusters(table(spark, sf_dir, "index_entries")))
+
+
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.clusters(table(spark, sf_dir, "index_entries"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "records").select(collection_of().alias("collection"), text_or_empty("key").alias("key"), "body")
     return split.cut_points(records, ["collection", "key"], "body")
@@ -35,6 +55,11 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_nearest": p2_nearest,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
+    "p4_members": p4_members,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_pack": p6_pack,
