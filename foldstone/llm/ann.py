@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -242,6 +243,7 @@ def _shortlist(index, size: int):
 def _rerank(k: int, dimensions: int):
     def rerank(key: tuple, fetched: pa.Table, short: pa.Table) -> pa.Table:
         empty = pa.Table.from_batches([_batch([], RANKED)])
+        fetched = fetched.filter(pc.equal(fetched["owner"], key[0]))
         if not len(short) or not len(fetched):
             return empty
         keys = np.array(fetched["key"].to_pylist(), dtype=object)
@@ -286,8 +288,9 @@ def search_all(entries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, dimen
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     wanted = short.filter("id is not null").select(*group, "id")
-    # Partitioned by id like the entries, so that only the ids move.
-    fetched = wanted.join(entries.select("collection", "id", "key", "vector"), ["collection", "id"])
+    # By id alone, as the entries are partitioned, so that only the ids move; what an
+    # equal hash brings in from another collection is left out when ranking.
+    fetched = wanted.join(entries.select("id", F.col("collection").alias("owner"), "key", "vector"), "id")
     lists = short.filter("id is null").select(*[F.col(c).alias(f"of_{c}") for c in group], "ids", "data")
     return fetched.groupBy(*group).cogroup(lists.groupBy(*[f"of_{c}" for c in group])).applyInArrow(_rerank(k, dimensions), RANKED)
 
