@@ -86,20 +86,26 @@ def _absorb(pivots, similar: float, dimensions: int):
 
 def pivot_rounds(rows: DataFrame, similar: float, least: int, pivots: int, dimensions: int) -> dict[str, np.ndarray]:
     """The pivots, by collection, that drew at least ``least`` entries, themselves included."""
-    active, found = rows.select("id", "collection", "key", "vector"), {}
-    while True:
-        first = active.orderBy(F.xxhash64("id", F.lit(1)), "collection", "key").limit(pivots).select("collection", "vector").toArrow()
-        if not len(first):
-            return {c: np.stack(v) for c, v in found.items()}
+    active, found, n = rows.select("id", "collection", "key", "vector"), {}, rows.count()
+    order, span = F.xxhash64("id", F.lit(1)), 1 << 40
+    while n:
+        # Twice as many as needed pass this; else each task would hand on as many as are needed in all.
+        low = F.shiftrightunsigned(order, 24) < (span * min(n, 2 * pivots) + n - 1) // n
+        first = active.filter(low).orderBy(order, "collection", "key").limit(pivots).select("collection", "vector").toArrow()
+        if not len(first):  # none so low by chance
+            first = active.orderBy(order, "collection", "key").limit(1).select("collection", "vector").toArrow()
         chosen, names, vectors = {}, np.array(first["collection"].to_pylist(), dtype=object), matrix(first["vector"], dimensions)
         for c in dict.fromkeys(names):
             own = vectors[names == c]
             chosen[c] = own[choose_pivots(own, similar)]
         shared = rows.sparkSession.sparkContext.broadcast(chosen)
         done = cut(active.mapInArrow(_absorb(shared, similar, dimensions), ROUND))
-        for r in done.filter("n is not null").groupBy("collection", "pivot").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect():
-            found.setdefault(r["collection"], []).append(chosen[r["collection"]][r["pivot"]])
+        for r in done.filter("n is not null").groupBy("collection", "pivot").agg(F.sum("n").alias("n")).collect():
+            n -= r["n"]
+            if r["n"] >= least:
+                found.setdefault(r["collection"], []).append(chosen[r["collection"]][r["pivot"]])
         active = done.filter("n is null").select("id", "collection", "key", "vector")
+    return {c: np.stack(v) for c, v in found.items()}
 
 
 def _sums(means, member: float, dimensions: int):
