@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldstone.llm import ann, cluster, mix, pack, split
+from foldstone.llm import abuse, ann, cluster, mix, pack, split
 from foldstone.model import collection_of, table, text_or_empty
 
 
@@ -54,6 +54,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive(p8_scores(spark, sf_dir)).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(table(spark, sf_dir, "documents"), p8_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_nearest": p2_nearest,
@@ -66,6 +78,9 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 SQL: dict[str, str] = {}
