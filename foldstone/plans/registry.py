@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foldstone.plans import data_problems
+from foldstone.plans import data_problems, reads
 
-MODULES = (data_problems,)
+MODULES = (data_problems, reads)
 
 
 def queries() -> dict:
