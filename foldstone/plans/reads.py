@@ -10,14 +10,14 @@ from foldstone.operators import kv, search
 from foldstone.plans.inputs import STATE, records
 from foldstone.sources import legacy, requests, wire
 
-REFERENCES = [(0, "documents", "doc-0000000002"), (1, "wiki", "page/3/3"), (2, "documents", "no such key"), (3, "archive", "doc-0000000000"), (4, "profiles", "user-0000000001")]
+REFERENCES = [(0, "documents", "doc-0000000040"), (1, "documents", "doc-0000000014"), (2, "documents", "no such key"), (3, "archive", "doc-0000000096"), (4, "profiles", "user-0000000047")]
 PHRASE = "the open invoice"
 ASKED = [(0, "the open invoice on the second attempt"), (1, "quarterly sheet"), (2, "cooling unit before noon")]
 PLAIN = ["collection", "key", "title", "version", "mutation_id"]
 
 
 def kv_get(spark, d):
-    return kv.get(records(spark, d), "documents", "doc-0000000002").select(*PLAIN)
+    return kv.get(records(spark, d), "documents", "doc-0000000040").select(*PLAIN)
 
 
 def kv_multi_get(spark, d):
@@ -34,7 +34,7 @@ def kv_range_open(spark, d):
 
 
 def kv_page(spark, d):
-    return kv.page(records(spark, d), "documents", "doc-0000000002", 25).select(*PLAIN)
+    return kv.page(records(spark, d), "documents", "doc-0000000040", 25).select(*PLAIN)
 
 
 def kv_collections(spark, d):
@@ -180,11 +180,11 @@ _REFS = ", ".join(f"({o}, '{c}', '{k}')" for o, c, k in REFERENCES)
 _ASKED = ", ".join(f"({i}, '{q}')" for i, q in ASKED)
 
 SQL = {
-    "kv_get": f"WITH {STATE} SELECT {_P} FROM state WHERE collection = 'documents' AND key = 'doc-0000000002'",
+    "kv_get": f"WITH {STATE} SELECT {_P} FROM state WHERE collection = 'documents' AND key = 'doc-0000000040'",
     "kv_multi_get": f"WITH {STATE}, refs(ord, c, k) AS (VALUES {_REFS}) SELECT ord, {_P} FROM refs JOIN state ON c = collection AND k = key",
     "kv_range": f"WITH {STATE} SELECT {_P} FROM state WHERE collection = 'wiki' AND key >= 'page/' AND key < 'page0' ORDER BY key LIMIT 50",
     "kv_range_open": f"WITH {STATE} SELECT {_P} FROM state WHERE collection = 'documents' AND key <> '' ORDER BY key LIMIT 1000",
-    "kv_page": f"WITH {STATE} SELECT {_P} FROM state WHERE collection = 'documents' AND key > 'doc-0000000002' ORDER BY key LIMIT 25",
+    "kv_page": f"WITH {STATE} SELECT {_P} FROM state WHERE collection = 'documents' AND key > 'doc-0000000040' ORDER BY key LIMIT 25",
     "kv_collections": f"WITH {STATE} SELECT DISTINCT collection FROM state",
     "metadata_filter": f"WITH {STATE} SELECT {_P} FROM state WHERE metadata['lang'] = 'en' AND metadata['source'] = 'api'",
     "semantic_predicate": f"WITH {STATE} SELECT collection, key, {_SEMANTIC} AS semantic FROM state",
