@@ -28,6 +28,12 @@ _QUOTED = regex.compile(r"(?:=[0-9A-F]{2})+")
 _TAG = regex.compile(r"<(/?)(\w{1,10})\b[^<>]{0,2000}>")
 _BLOCKS = frozenset("p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 hr blockquote body html title head".split())
 _ADDRESS = regex.compile(r"[^\s<>]{1,100}@[\w-]{1,60}\.[\w.-]{1,60}")
+#: Lines of addresses, dates and numbers; their names are no language of the message.
+_ROUTING = regex.compile(
+    r"^(?:(?:from|to|cc|bcc|sender|reply-to|return-path|received|date|sent|message-id|in-reply-to|references|mime-version|content-[a-z-]+"
+    r"|von|gesendet|an|de|para|enviado|à|envoyé)[ \t]*:.*|from \S+@.*)\n(?:[ \t]+\S.*\n)*",
+    regex.M | regex.I,
+)
 _HEADER = regex.compile(r"^(?=[A-Za-z][A-Za-z-]{1,30}: ?\S)", regex.M)
 
 
@@ -155,7 +161,7 @@ class Letters:
     """
 
     def __init__(self, texts: list[str]):
-        prepared = [_HEADER.sub("\n\n", _ADDRESS.sub("\n\n", t)) if t else "" for t in texts]
+        prepared = [_HEADER.sub("\n\n", _ADDRESS.sub("\n\n", _ROUTING.sub("\n", t))) if t else "" for t in texts]
         whole = "\n\n".join([*prepared, ""])
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(p) + 2 for p in prepared], np.int64)
