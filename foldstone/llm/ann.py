@@ -76,6 +76,8 @@ class Index:
 
 def kmeans(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centers = rows[rng.permutation(len(rows))[:k]].copy()
+    if not len(centers):
+        return centers
     for _ in range(rounds):
         near = (rows @ centers.T - 0.5 * np.einsum("ij,ij->i", centers, centers)).argmax(1)
         sums = np.zeros_like(centers, dtype=np.float64)
