@@ -44,7 +44,7 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     )
     # one row against one row per target
     joined = both.join(F.broadcast(totals), F.lit(True))
-    rate = F.least(F.col("part") * F.col("per_share") / F.col("tokens"), F.col("max_repeats").cast("double"))
+    rate = F.when(F.col("part").isNotNull(), F.least(F.col("part") * F.col("per_share") / F.col("tokens"), F.col("max_repeats").cast("double")))
     return joined.select("source", "target_share", "max_repeats", "tokens", F.coalesce(F.col("part") / F.col("shares"), F.lit(0.0)).alias("share"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 

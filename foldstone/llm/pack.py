@@ -126,7 +126,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, full: float = FULL, rounds:
             bins = bins.mapInPandas(_round(capacity, full, last), _BINS)
         bins = cut(bins)
         width = width or bins.rdd.getNumPartitions()
-    return bins.select(F.monotonically_increasing_id().alias("container"), F.inline("items"))
+    # numbered before the items are taken apart, or each would get a number of its own
+    numbered = bins.select(F.monotonically_increasing_id().alias("container"), "items")
+    return numbered.select("container", F.inline("items"))
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
