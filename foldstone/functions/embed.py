@@ -77,9 +77,10 @@ class VectorizedHashEmbedder(HashEmbedder):
             import re
 
             pattern = re.compile(rb"[a-z0-9]+|[\x80-\xff]")
+            place: dict[bytes, int] = {}
 
             def h(b: bytes) -> int:
-                return int(hashlib.md5(b).hexdigest()[:15], 16)
+                return int.from_bytes(hashlib.md5(b).digest()[:8], "big") >> 4
 
             def one(t: str | None):
                 if not t:
@@ -89,7 +90,11 @@ class VectorizedHashEmbedder(HashEmbedder):
                 tokens = [x.decode("latin-1").encode() for x in pattern.findall(raw.lower())] or [raw]
                 v = [0.0] * d
                 for i, token in enumerate(tokens):
-                    at = h(token) % d
+                    at = place.get(token)
+                    if at is None:
+                        at = h(token) % d
+                        if len(place) < 100_000:
+                            place[token] = at
                     w = (-1.0 if h(token + b"#" + str(i).encode()) % 2 else 1.0) / math.sqrt(1.0 + i)
                     v[at] += w
                     v[(at + 7) % d] += 0.25 * w
