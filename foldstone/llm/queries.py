@@ -83,4 +83,17 @@ QUERIES = {
     "p8_rates": p8_rates,
 }
 
-SQL: dict[str, str] = {}
+_NORM = "sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
+_DOT = "list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+
+#: Only p2_found has SQL: every pair by brute force, as the search must find them all.
+SQL: dict[str, str] = {
+    "p2_found": f"""
+      WITH last AS (SELECT coalesce(nullif(collection, ''), 'documents') AS collection, coalesce(key, '') AS key, vector FROM index_entries
+        QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(collection, ''), 'documents'), coalesce(key, '') ORDER BY coalesce(version, 0) DESC) = 1),
+      usable AS (SELECT *, {_NORM.format(v="vector")} AS norm FROM last
+        WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 128 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+      near AS (SELECT a.collection, a.key, b.key AS other, {_DOT} / a.norm / b.norm AS cosine FROM usable a JOIN usable b ON a.collection = b.collection AND a.key <> b.key
+        QUALIFY row_number() OVER (PARTITION BY a.collection, a.key ORDER BY cosine DESC, b.key) <= 5)
+      SELECT DISTINCT collection, least(key, other) AS key_a, greatest(key, other) AS key_b FROM near WHERE cosine >= 0.85""",
+}
