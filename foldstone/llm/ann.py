@@ -80,9 +80,8 @@ def kmeans(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
         return centers
     for _ in range(rounds):
         near = (rows @ centers.T - 0.5 * np.einsum("ij,ij->i", centers, centers)).argmax(1)
-        sums = np.zeros_like(centers, dtype=np.float64)
-        np.add.at(sums, near, rows)
         n = np.bincount(near, minlength=len(centers))
+        sums = np.stack([np.bincount(near, column, len(centers)) for column in rows.T], axis=1)
         centers = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers).astype(np.float32)
     return centers
 
@@ -118,8 +117,8 @@ def fit(entries: DataFrame, dimensions: int = DIMENSIONS, probes: int = PROBES,
         probed = np.argsort(-(directions @ directions.T), axis=1, kind="stable")[:, :probes]
         blocks = np.ceil(np.bincount(near, minlength=k) / len(own) * n / BLOCK).astype(np.int64)
         lists[c] = Lists(centers, directions, probed, np.maximum(blocks, 1))
-    rest = np.concatenate(residuals)[: 4 * SAMPLE] if residuals else rows
-    rest = rest[rng.permutation(len(rest))]
+    rest = np.concatenate(residuals) if residuals else rows
+    rest = rest[rng.permutation(len(rest))[: 2 * SAMPLE]]
     width = dimensions // PARTS
     books = np.zeros((PARTS, CODES, width), np.float32)
     for p in range(PARTS):
