@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +41,23 @@ def cut(df: DataFrame) -> DataFrame:
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foldstone-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors of a cluster, once per application.
+
+    Functions that run in Python workers are found there by name; a cluster whose
+    workers don't have the package on their path gets it from the driver.
+    """
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_foldstone_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="foldstone-")  # the driver serves it as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/foldstone.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._foldstone_shipped = True
