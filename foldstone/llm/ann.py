@@ -288,6 +288,7 @@ def search_all(entries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, dimen
         .applyInArrow(_shortlist(index, max(shortlist, k + 1) + 1), SHORT)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    short.count()  # both branches below read it; begun together, they would both make it
     wanted = short.filter("id is not null").select(*group, "id")
     # By id alone, as the entries are partitioned, so that only the ids move; what an
     # equal hash brings in from another collection is left out when ranking.
