@@ -56,6 +56,13 @@ def range_scan(records: DataFrame, collection: str | None, begin: str = "", end:
     return _once(records.filter(at & (F.col("key") != ""))).orderBy("key").limit(n)
 
 
+def prefix_scan(records: DataFrame, collection: str | None, prefix: str, limit: int | None = None) -> DataFrame:
+    """Records whose key begins with ``prefix``, in key order (E18); the test is pushed to
+    the scan as it stands, so no end of a range has to be made up."""
+    own = records.filter(in_collection(collection) & F.col("key").startswith(prefix) & (F.col("key") != ""))
+    return _once(own).orderBy("key").limit(clamp_limit(limit))
+
+
 def page(records: DataFrame, collection: str | None, after: str = "", size: int = USUAL) -> DataFrame:
     """The page of records behind the key ``after``."""
     return range_scan(records, collection, after + "\0" if after else "", "", size)

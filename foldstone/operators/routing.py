@@ -98,6 +98,13 @@ def route(records: DataFrame, nodes: DataFrame, local_id: str, slots: int = SLOT
     return out.select("collection", "key", "slot_id", "primary_id", "primary_host", "primary_port", "replicas", F.coalesce(F.col("primary_id") == local_id, F.lit(False)).alias("local_owner"))
 
 
+def moved_slots(before: DataFrame, after: DataFrame, slots: int = SLOTS, virtual: int = VIRTUAL) -> DataFrame:
+    """``slot_id, from_id, to_id`` of the slots whose owner another membership changes."""
+    old = slot_owners(before, slots, virtual).select("slot_id", F.col("primary_id").alias("from_id"))
+    new = slot_owners(after, slots, virtual).select("slot_id", F.col("primary_id").alias("to_id"))
+    return old.join(new, "slot_id").filter("from_id <> to_id")
+
+
 def migration_plan(records: DataFrame, nodes: DataFrame, local_id: str, pending: DataFrame | None = None, slots: int = SLOTS, virtual: int = VIRTUAL) -> DataFrame:
     """Tasks for every record whose primary is another node, but for those that are
     pending or wait for their delayed delete (R5, F5)."""

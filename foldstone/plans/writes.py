@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from foldstone.model import table
 from foldstone.operators import feed, routing, state, stats, vector
 from foldstone.plans import data_problems
 from foldstone.plans.inputs import DOT, ENTRIES, HASH60, LOG, STATE, entries, event_log, first_vector, records, vector_queries
+from foldstone.runtime import shared_folder
 from foldstone.sources import requests
 from foldstone.streaming import tables
 
@@ -238,8 +238,7 @@ def _stream(spark, d, name):
 
 def _drained(spark, df):
     """All that a stream gives until its input ends, from the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foldstone-")
-    out = f"{root}/streams/{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     run = df.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")

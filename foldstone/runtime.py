@@ -26,20 +26,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared checkpoint folder.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a laptop) is a temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one the session names in
+    ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foldstone-"))
+        return named
+    sc = spark.sparkContext
+    if getattr(sc, "_foldstone_folder", None) is None:
+        sc._foldstone_folder = tempfile.mkdtemp(prefix="foldstone-")
+    return sc._foldstone_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and keep its rows as a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
