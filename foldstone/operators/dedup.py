@@ -7,7 +7,7 @@ range grows. Everything else goes to an exact lookup by ``(collection, key,
 mutation_id)``: numbers that a range covers, numbers that one batch uses for more
 than one message, and identifiers that are not of the numbered form.
 
-Scale: rows are first reduced to one per ``(producer, number)``, map-side, so a
+Scale: identifiers are parsed once and kept, without bodies. Rows are first reduced to one per ``(producer, number)``, map-side, so a
 message that makes up a third of the feed costs no more than any other. The sweep
 over ranges works in blocks of ``BLOCK`` numbers, so the numbers and ranges of one
 task's group are bounded even for one hot producer. Only identifiers and stamps are
@@ -102,7 +102,7 @@ def deduplicate(deliveries: DataFrame, seen: Seen | None = None) -> Deduplicated
     against earlier batches the earlier copy stays. Rows whose ``delivery_id`` is
     null count as one delivery. An empty batch gives no duplicates.
     """
-    rows = messages_of(deliveries)
+    rows = cut(messages_of(deliveries))  # parsed once; several branches read it
     numbered = rows.filter("producer is not null")
     numbers = numbered.groupBy("producer", "number").agg(
         F.min(F.struct("stamp", "tie", "delivery_id")).alias("first"),
