@@ -27,6 +27,14 @@ def _once(df: DataFrame) -> DataFrame:
     return df.withColumn("collection", collection_of()).dropDuplicates(["collection", "key"])
 
 
+def _first(records: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` records of one collection by key. Keys alone are made distinct and
+    sorted; the rest of a record is fetched for at most ``MOST`` of them."""
+    keys = records.select(F.col("key").alias("first_key")).distinct().orderBy("first_key").limit(n)
+    own = records.join(F.broadcast(keys), F.col("key") == F.col("first_key"), "left_semi")
+    return _once(own).orderBy("key")
+
+
 def get(records: DataFrame, collection: str | None, key: str) -> DataFrame:
     """The record of a key, no row if there is none; an empty key is an error (B1)."""
     if not key:
@@ -38,7 +46,8 @@ def multi_get(records: DataFrame, references: DataFrame) -> DataFrame:
     """The records of ``references`` (ord, collection, key) in their order, column
     ``ord``; those that are missing are left out (B2, F1)."""
     wanted = references.select("ord", collection_of().alias("collection"), "key")
-    return _once(records).join(wanted, ["collection", "key"]).orderBy("ord")
+    found = records.withColumn("collection", collection_of()).join(wanted, ["collection", "key"])
+    return found.dropDuplicates(["ord"]).orderBy("ord")
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -52,15 +61,14 @@ def range_scan(records: DataFrame, collection: str | None, begin: str = "", end:
         at = at & (F.col("key") >= begin)
     if end:
         at = at & (F.col("key") < end)
-    n = clamp_limit(limit)
-    return _once(records.filter(at & (F.col("key") != ""))).orderBy("key").limit(n)
+    return _first(records.filter(at & (F.col("key") != "")), clamp_limit(limit))
 
 
 def prefix_scan(records: DataFrame, collection: str | None, prefix: str, limit: int | None = None) -> DataFrame:
     """Records whose key begins with ``prefix``, in key order (E18); the test is pushed to
     the scan as it stands, so no end of a range has to be made up."""
     own = records.filter(in_collection(collection) & F.col("key").startswith(prefix) & (F.col("key") != ""))
-    return _once(own).orderBy("key").limit(clamp_limit(limit))
+    return _first(own, clamp_limit(limit))
 
 
 def page(records: DataFrame, collection: str | None, after: str = "", size: int = USUAL) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldstone.functions.embed import Embedder, record_text
@@ -12,13 +12,8 @@ from foldstone.operators.kv import in_collection
 from foldstone.operators.vector import top_k_batch
 
 SCAN_LIMIT = 1000
-
-
-def hits(ranked: DataFrame, records: DataFrame, query: Column) -> DataFrame:
-    """``qid, rank, key, title, snippet, score, metadata``: ranked references joined to
-    their records by key; those without a record are left out (F1, B12)."""
-    stored = records.select("key", "title", "body", "metadata").dropDuplicates(["key"])
-    return ranked.join(stored, "key").select("qid", "rank", "key", "title", snippet(F.col("body"), query).alias("snippet"), "score", "metadata")
+#: Queries answered by keywords in one call; each is a pass of its own over the texts.
+MOST_DEGRADED = 100
 
 
 def keyword_search(records: DataFrame, query: str, k: int, collection: str | None = None, filters: dict[str, str] | None = None, scan_limit: int | None = SCAN_LIMIT) -> DataFrame:
@@ -27,14 +22,17 @@ def keyword_search(records: DataFrame, query: str, k: int, collection: str | Non
     Candidates are the first ``scan_limit`` records of the collection by key, before
     the filters; with None all records are.
     """
-    rows = records.filter(in_collection(collection)).dropDuplicates(["key"])
+    rows = records.filter(in_collection(collection))
     if scan_limit is not None:
-        rows = rows.orderBy("key").limit(scan_limit)
+        keys = rows.select(F.col("key").alias("first_key")).distinct().orderBy("first_key").limit(scan_limit)
+        rows = rows.join(F.broadcast(keys) if scan_limit <= 100 * SCAN_LIMIT else keys, F.col("key") == F.col("first_key"), "left_semi")
     rows = rows.filter(matches_filters(F.col("metadata"), filters))
     title, body, q = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")), F.lit(query)
-    scored = rows.withColumn("score", keyword_score(title, body, q)).filter("score > 0")
-    best = scored.orderBy(F.desc("score"), "key").limit(clamp_top_k(k))
-    return best.select("key", title.alias("title"), snippet(body, q).alias("snippet"), "score")
+    # keys and scores alone are shuffled; texts are read again for the few that win
+    scored = rows.select(F.col("key").alias("best_key"), keyword_score(title, body, q).alias("score")).filter("score > 0")
+    best = scored.groupBy("best_key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "best_key").limit(clamp_top_k(k))
+    won = rows.join(F.broadcast(best), F.col("key") == F.col("best_key")).dropDuplicates(["key"])
+    return won.select("key", title.alias("title"), snippet(body, q).alias("snippet"), "score").orderBy(F.desc("score"), "key")
 
 
 def embed_records(records: DataFrame, embedder: Embedder) -> DataFrame:
@@ -49,28 +47,39 @@ def semantic_search(records: DataFrame, index: DataFrame, queries: DataFrame, em
 
     Queries are embedded, matched against the filtered entries and joined to their
     records. ``degraded`` ranks by keywords instead, as happens where embedding is
-    not to be had; each query then scores every record once.
+    not to be had; more than ``MOST_DEGRADED`` queries are then an error.
     """
     k = clamp_top_k(k)
-    own = records.filter(in_collection(collection)).dropDuplicates(["key"])
+    own = records.filter(in_collection(collection))
     if degraded:
-        asked = F.broadcast(queries.select("qid", "query"))
+        asked = queries.select("qid", "query")
         title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
-        rows = own.filter(matches_filters(F.col("metadata"), filters)).select("key", title.alias("title"), body.alias("body"), "metadata").join(asked)
-        scored = rows.withColumn("score", keyword_score(F.col("title"), F.col("body"), F.col("query"))).filter("score > 0")
+        rows = own.filter(matches_filters(F.col("metadata"), filters)).select("key", title.alias("title"), body.alias("body"))
+        found = None
+        wanted = asked.limit(MOST_DEGRADED + 1).collect()
+        if len(wanted) > MOST_DEGRADED:
+            raise ValueError(f"more than {MOST_DEGRADED} queries")
+        for r in wanted:
+            scored = rows.select("key", F.lit(r["qid"]).alias("qid"), keyword_score(F.col("title"), F.col("body"), F.lit(r["query"])).alias("score")).filter("score > 0")
+            top = scored.groupBy("qid", "key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "key").limit(k)
+            found = top if found is None else found.unionByName(top)
+        if found is None:
+            found = rows.select("key", F.lit(0).alias("qid"), F.lit(0.0).alias("score")).limit(0)
         best = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-        top = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        return top.select("qid", "rank", "key", "title", snippet(F.col("body"), F.col("query")).alias("snippet"), "score", "metadata", F.lit(True).alias("degraded"))
+        ranked = found.withColumn("rank", F.row_number().over(best)).join(asked, "qid")
+        return hits_with_query(ranked, own, True)
     entries = index.filter(in_collection(collection)).filter(matches_filters(F.col("metadata"), filters))
     asked = queries.select("qid", "query", embedder.embed(F.col("query")).alias("vector")).filter("vector is not null")
     ranked = top_k_batch(entries, asked, k).join(queries.select("qid", "query"), "qid")
-    return hits_with_query(ranked, own)
+    return hits_with_query(ranked, own, False)
 
 
-def hits_with_query(ranked: DataFrame, records: DataFrame) -> DataFrame:
-    stored = records.select("key", "title", "body", "metadata")
-    joined = ranked.join(stored, "key")
-    return joined.select("qid", "rank", "key", "title", snippet(F.col("body"), F.col("query")).alias("snippet"), "score", "metadata", F.lit(False).alias("degraded"))
+def hits_with_query(ranked: DataFrame, records: DataFrame, degraded: bool) -> DataFrame:
+    """References joined to their records first and made distinct after, so that only
+    the records that were found are shuffled."""
+    stored = records.select("key", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("body", F.lit("")).alias("body"), "metadata")
+    joined = ranked.join(stored, "key").dropDuplicates(["qid", "key"])
+    return joined.select("qid", "rank", "key", "title", snippet(F.col("body"), F.col("query")).alias("snippet"), "score", "metadata", F.lit(degraded).alias("degraded"))
 
 
 def reindex(records: DataFrame, index: DataFrame, embedder: Embedder, collection: str) -> DataFrame:
