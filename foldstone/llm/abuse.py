@@ -44,6 +44,8 @@ ABOVE, SMOOTH = 0.2, 3.0
 #: Reviewers err most on harmless uses of abusive words; about half of those are marked.
 THRESHOLD = 0.65
 BLOCK = 32
+#: Passages that are turned into grams at a time while fitting.
+PORTION = 20_000
 
 
 def _expand(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +154,7 @@ def fit(passages: list[list[bytes]], label: np.ndarray, doc: np.ndarray, max_exa
     where: dict[bytes, int] = {}
     total, bad, one = [], [], []
     for own, y, d in zip(passages, label, doc):
-        for p in set(own):
+        for p in dict.fromkeys(own):
             i = where.setdefault(p, len(where))
             if i == len(total):
                 total.append(0)
@@ -165,13 +167,28 @@ def fit(passages: list[list[bytes]], label: np.ndarray, doc: np.ndarray, max_exa
     texts = list(where)
     n, y, one = np.array(total, np.float64), np.array(bad), np.array(one, np.int64)
     base = float(np.mean(label)) if len(label) else 0.0
-    codes, which = grams_of(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    both = np.unique(which.astype(np.int64) * TERMS + codes)
-    p, c = np.divmod(both, TERMS)
-    idf = np.log((1 + len(texts)) / (1 + np.bincount(c, minlength=TERMS))).astype(np.float32)
-    share = (np.bincount(c, y[p], minlength=TERMS) + SMOOTH * base) / (np.bincount(c, n[p], minlength=TERMS) + SMOOTH)
-    w = idf[c].astype(np.float64) ** 2
-    suspicion = np.bincount(p, w * share[c], minlength=len(texts)) / np.maximum(np.bincount(p, w, minlength=len(texts)), 1e-12)
+
+    def terms() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passage, gram) pairs, some passages at a time, so that memory is bounded."""
+        for at in range(0, len(texts), PORTION):
+            codes, which = grams_of(texts[at : at + PORTION])
+            p, c = np.divmod(np.unique(which.astype(np.int64) * TERMS + codes), TERMS)
+            yield p + at, c
+
+    df, bad_df, all_df = np.zeros(TERMS), np.zeros(TERMS), np.zeros(TERMS)
+    for p, c in terms():
+        df += np.bincount(c, minlength=TERMS)
+        bad_df += np.bincount(c, y[p], minlength=TERMS)
+        all_df += np.bincount(c, n[p], minlength=TERMS)
+    idf = np.log((1 + len(texts)) / (1 + df)).astype(np.float32)
+    share = (bad_df + SMOOTH * base) / (all_df + SMOOTH)
+    suspicion = np.zeros(len(texts))
+    for p, c in terms():
+        w = idf[c].astype(np.float64) ** 2
+        if not len(p):
+            continue
+        own = slice(p[0], p[-1] + 1)
+        suspicion[own] = np.bincount(p - p[0], w * share[c]) / np.maximum(np.bincount(p - p[0], w), 1e-12)
     rate = y / np.maximum(n, 1)
     suspects = np.flatnonzero((rate >= 0.5) & (suspicion >= base + ABOVE * (1 - base)))
     suspects = suspects[np.argsort(-suspicion[suspects], kind="stable")][: max_examples // 2]
@@ -183,20 +200,18 @@ def fit(passages: list[list[bytes]], label: np.ndarray, doc: np.ndarray, max_exa
     def against(suspects: np.ndarray) -> np.ndarray:
         """The harmless passages that resemble a suspect, the most similar if too many."""
         first = Examples.build(pick(suspects), rate[suspects], n[suspects], one[suspects], idf, base)
-        back = np.full(len(texts), -1, np.int64)
-        back[other] = np.arange(len(other))
-        mine = back[which] >= 0
-        q, _, s = first.similar(codes[mine], back[which[mine]], len(other))
         closest = np.zeros(len(other))
-        np.maximum.at(closest, q, s)
+        for at in range(0, len(other), PORTION):
+            part = pick(other[at : at + PORTION])
+            q, _, s = first.similar(*grams_of(part), len(part))
+            np.maximum.at(closest, q + at, s)
         found = np.flatnonzero(closest > 0)
         return other[found[np.argsort(-closest[found], kind="stable")][: max_examples // 2]]
 
     counter = against(suspects)
     chosen = np.concatenate([suspects, counter])
     index = Examples.build(pick(chosen), rate[chosen], n[chosen], one[chosen], idf, base)
-    own_codes, own_which = grams_of(pick(suspects)) if len(suspects) else (codes[:0], which[:0])
-    score, _, _ = index.vote(*index.similar(own_codes, own_which, len(suspects)), len(suspects))
+    score, _, _ = index.vote(*index.similar(*grams_of(pick(suspects)), len(suspects)), len(suspects))
     suspects = suspects[score >= 0.5]
     chosen = np.concatenate([suspects, against(suspects)])
     return Examples.build(pick(chosen), rate[chosen], n[chosen], one[chosen], idf, base)

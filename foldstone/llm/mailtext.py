@@ -233,6 +233,8 @@ class Letters:
 
 def grams_of(passages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """``Letters.grams`` for passages as ``Letters.passages`` gives them."""
+    if not passages:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     sizes = np.array([len(p) for p in passages], np.int64)
     stream = np.frombuffer(b"".join(passages), np.uint8).astype(np.int32) - 97
     start = np.cumsum(sizes) - sizes
