@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,21 @@ def usable(vector: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.coalesce((F.size(vector) == dimensions) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves out rows that a later version of the same key in their batch replaces."""
+    for batch in batches:
+        ids, version = batch["id"].to_numpy(), batch["version"].to_numpy()
+        order = np.lexsort((version, ids))
+        last = np.append(np.flatnonzero(np.diff(ids[order])), len(order) - 1) if len(order) else order
+        if len(last) == len(order):
+            yield batch
+            continue
+        newest = np.empty(len(order), np.int64)
+        newest[order] = np.repeat(order[last], np.diff(last, prepend=-1))
+        same = pc.and_(*[pc.equal(batch[c], batch[c].take(pa.array(newest))) for c in ("collection", "key")]).to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array((newest == np.arange(len(order))) | ~same))
+
+
 def current(entries: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """``id, collection, key, segment_id, vector`` of the entries in force.
 
@@ -31,11 +49,14 @@ def current(entries: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
         F.xxhash64(collection_of(), key).alias("id"),
         collection_of().alias("collection"),
         key.alias("key"),
-        F.struct(number_or_zero("segment_id").alias("segment_id"), F.col("vector").cast("array<float>").alias("vector")).alias("row"),
+        number_or_zero("segment_id").alias("segment_id"),
+        F.col("vector").cast("array<float>").alias("vector"),
         number_or_zero("version").alias("version"),
     )
+    # Combined by batch first, so that a key with very many versions does not fill a task.
+    few = rows.mapInArrow(_newest, rows.schema).withColumn("row", F.struct("segment_id", "vector"))
     # One exchange, by id, serves this aggregate and the later lookups by id.
-    last = rows.repartition("id").groupBy("id", "collection", "key").agg(F.max_by("row", "version").alias("row"))
+    last = few.repartition("id").groupBy("id", "collection", "key").agg(F.max_by("row", "version").alias("row"))
     return last.select("id", "collection", "key", "row.segment_id", "row.vector").filter(usable(F.col("vector"), dimensions))
 
 

@@ -61,6 +61,18 @@ def test_copies_of_one_vector(entries):
         assert all(s == pytest.approx(1) for _, s in got["c", own])
 
 
+def test_batches_keep_the_newest_version_of_each_key():
+    import pyarrow as pa
+
+    ids = [5, 5, 7, 5, 7, 9, 5]
+    keys = ["a", "a", "b", "a", "b", "c", "other"]  # the last has the hash of "a" by chance
+    batch = pa.RecordBatch.from_pydict({"id": ids, "collection": ["x"] * 7, "key": keys, "version": [1, 3, 2, 2, 1, 0, 9], "n": list(range(7))})
+    got = next(vectors._newest(iter([batch]))).to_pydict()
+    assert {("a", 1), ("b", 2), ("c", 5), ("other", 6)} <= set(zip(got["key"], got["n"])) and 4 not in got["n"]
+    empty = batch.slice(0, 0)
+    assert next(vectors._newest(iter([empty]))).num_rows == 0
+
+
 def test_pairs(entries):
     rows = rows_of("c", clustered(8, [5, 5], 20, spread=0.01))
     pairs = {(r["key_a"], r["key_b"]) for r in ann.similar_pairs(ann.nearest(entries(rows))).collect()}
