@@ -8,6 +8,7 @@ from foldstone.functions import embed, text, wordpiece
 from foldstone.model import table
 from foldstone.operators import kv, search
 from foldstone.plans.inputs import STATE, records
+from foldstone.runtime import spread
 from foldstone.sources import legacy, requests, wire
 
 REFERENCES = [(0, "documents", "doc-0000000040"), (1, "documents", "doc-0000000014"), (2, "documents", "no such key"), (3, "archive", "doc-0000000096"), (4, "profiles", "user-0000000047")]
@@ -84,7 +85,7 @@ def snippet(spark, d):
 
 
 def hash_embed(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", embed.VectorizedHashEmbedder(32).embed(F.col("text")).alias("v"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", embed.VectorizedHashEmbedder(32).embed(F.col("text")).alias("v"))
     return docs.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in (0, 7, 31)])
 
 

@@ -64,3 +64,14 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(root.parent))
     sc.addPyFile(archive)
     sc._foldstone_shipped = True
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer tasks than there are cores, over all cores.
+
+    For costly functions on small tables; larger scans have tasks enough and are left
+    as they are, so what moves is bounded by the cores. Only for plain scans, since
+    the number of tasks is asked of the plan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
