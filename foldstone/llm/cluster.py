@@ -6,14 +6,14 @@ Parallel pivot correlation clustering, within each collection:
    are compared with one another; those that no earlier pivot resembles become
    pivots and are broadcast, and every unassigned entry like one of them joins it.
    Rounds go on, over ever fewer rows, until no entry is left.
-2. *Means.* Pivots that drew at least ``LEAST`` entries give the first clusters. All
-   entries are then given to the closest mean direction, if it reaches ``MEMBER``,
-   the means are computed anew, and of two whose cosine exceeds ``APART`` the larger
-   stays, until nothing changes.
+2. *Means.* Pivots that drew at least ``LEAST`` entries give the first clusters, with
+   the mean of all they drew. All entries are then given to the closest mean
+   direction, if it reaches ``MEMBER``, the means are computed anew, and of two whose
+   cosine exceeds ``APART`` the larger stays, until nothing changes.
 3. *Description.* Size and the members closest to the mean (the medoid first).
 
-Scale: a round reads each row once and moves only pivots out and counts back; a round
-of means moves one sum per cluster and partition. The driver holds ``PIVOTS`` vectors
+Scale: a round reads each row once and moves only pivots out and one sum per pivot
+and batch back; a round of means moves one sum per cluster and partition. The driver holds ``PIVOTS`` vectors
 and one mean per cluster. A cluster that holds a third of all rows is never gathered.
 """
 
@@ -55,11 +55,12 @@ def _by_collection(batch: pa.RecordBatch, dimensions: int):
         yield names.dictionary[int(c)].as_py(), at, vectors[at]
 
 
-ROUND = "id long, collection string, key string, vector array<float>, pivot int, n long"
+ROUND = "id long, collection string, key string, vector array<float>, pivot int, sum binary, n long"
+SUMS = "collection string, cluster int, sum binary, n long"
 
 
 def _absorb(pivots, similar: float, dimensions: int):
-    schema = pa.schema([("id", pa.int64()), ("collection", pa.string()), ("key", pa.string()), ("vector", pa.list_(pa.float32())), ("pivot", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("collection", pa.string()), ("key", pa.string()), ("vector", pa.list_(pa.float32())), ("pivot", pa.int32()), ("sum", pa.binary()), ("n", pa.int64())])
 
     def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,19 +74,24 @@ def _absorb(pivots, similar: float, dimensions: int):
                 best = score.argmax(1)
                 hit = score[np.arange(len(own)), best] >= similar
                 left.append(at[~hit])
-                drawn += [(name, int(p), len(m)) for p, m in groups(best[hit])]
+                drawn += [(name, int(p), own[hit][m].sum(0, dtype=np.float64).tobytes(), len(m)) for p, m in groups(best[hit])]
             rest = batch.take(pa.array(np.sort(np.concatenate(left)) if left else np.zeros(0, np.int64)))
             n = len(rest)
-            yield pa.RecordBatch.from_arrays([rest["id"], rest["collection"], rest["key"], rest["vector"].cast(pa.list_(pa.float32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], schema=schema)
-            names, which, counts = zip(*drawn) if drawn else ((), (), ())
+            yield pa.RecordBatch.from_arrays([rest["id"], rest["collection"], rest["key"], rest["vector"].cast(pa.list_(pa.float32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=schema)
+            names, which, sums, counts = zip(*drawn) if drawn else ((), (), (), ())
             m = len(names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(names, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.float32())), pa.array(which, pa.int32()), pa.array(counts, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(names, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.list_(pa.float32())), pa.array(which, pa.int32()), pa.array(sums, pa.binary()), pa.array(counts, pa.int64())], schema=schema)
 
     return absorb
 
 
 def pivot_rounds(rows: DataFrame, similar: float, least: int, pivots: int, dimensions: int) -> dict[str, np.ndarray]:
-    """The pivots, by collection, that drew at least ``least`` entries, themselves included."""
+    """Mean directions, by collection, of what pivots drew that drew at least ``least``
+    entries, themselves included.
+
+    What is handed on is the mean of all these entries, not the pivot: a pivot at the
+    edge of its cluster has few members within reach of ``MEMBER``.
+    """
     active, found, n = rows.select("id", "collection", "key", "vector"), {}, rows.count()
     order, span = F.xxhash64("id", F.lit(1)), 1 << 40
     while n:
@@ -100,10 +106,10 @@ def pivot_rounds(rows: DataFrame, similar: float, least: int, pivots: int, dimen
             chosen[c] = own[choose_pivots(own, similar)]
         shared = rows.sparkSession.sparkContext.broadcast(chosen)
         done = cut(active.mapInArrow(_absorb(shared, similar, dimensions), ROUND))
-        for r in done.filter("n is not null").groupBy("collection", "pivot").agg(F.sum("n").alias("n")).collect():
-            n -= r["n"]
-            if r["n"] >= least:
-                found.setdefault(r["collection"], []).append(chosen[r["collection"]][r["pivot"]])
+        names, which, sums, sizes = _added(done.filter("n is not null").select("collection", F.col("pivot").alias("cluster"), "sum", "n"), dimensions)
+        n -= int(sizes.sum())
+        for i in np.flatnonzero(sizes >= least):
+            found.setdefault(names[i], []).append(_unit(sums[i]))
         active = done.filter("n is null").select("id", "collection", "key", "vector")
     return {c: np.stack(v) for c, v in found.items()}
 
@@ -131,10 +137,26 @@ def _sums(means, member: float, dimensions: int):
     return sums
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.float64) for x in table["sum"].to_pylist()], axis=0)
-    n = int(np.sum(table["n"].to_numpy()))
-    return pa.table({"collection": table["collection"][:1], "cluster": table["cluster"][:1], "sum": pa.array([total.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[str, int], tuple[np.ndarray, int]] = {}
+    for batch in batches:
+        for c, k, s, n in zip(*(batch[x].to_pylist() for x in ("collection", "cluster", "sum", "n"))):
+            before, m = total.get((c, k), (0.0, 0))
+            total[c, k] = before + np.frombuffer(s, np.float64), m + n
+    rows = [(c, k, s.tobytes(), n) for (c, k), (s, n) in total.items()]
+    names, which, data, counts = zip(*rows) if rows else ((), (), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(which, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.int64())], names=["collection", "cluster", "sum", "n"])
+
+
+def _added(parts: DataFrame, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Collection, number, sum and size of each cluster, from parts of them, in order."""
+    got = parts.repartition("collection", "cluster").mapInArrow(_add, SUMS).toArrow().sort_by([("collection", "ascending"), ("cluster", "ascending")])
+    sums = np.array([np.frombuffer(x, np.float64) for x in got["sum"].to_pylist()]).reshape(-1, dimensions)
+    return np.array(got["collection"].to_pylist(), dtype=object), got["cluster"].to_numpy(), sums, got["n"].to_numpy()
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    return sums / np.maximum(np.linalg.norm(sums, axis=-1, keepdims=True), 1e-12)
 
 
 def separate(directions: np.ndarray, sizes: np.ndarray, apart: float) -> np.ndarray:
@@ -153,18 +175,13 @@ def mean_rounds(rows: DataFrame, start: dict[str, np.ndarray], member: float, ap
         if not means:
             break
         shared = rows.sparkSession.sparkContext.broadcast({c: m.astype(np.float32) for c, m in means.items()})
-        parts = rows.select("collection", "vector").mapInArrow(_sums(shared, member, dimensions), "collection string, cluster int, sum binary, n long")
-        got = parts.groupBy("collection", "cluster").applyInArrow(_add, "collection string, cluster int, sum binary, n long").toArrow()
-        names = np.array(got["collection"].to_pylist(), dtype=object)
-        which, sizes = got["cluster"].to_numpy(), got["n"].to_numpy()
-        sums = np.array([np.frombuffer(x, np.float64) for x in got["sum"].to_pylist()]).reshape(-1, dimensions)
+        names, _, sums, sizes = _added(rows.select("collection", "vector").mapInArrow(_sums(shared, member, dimensions), SUMS), dimensions)
         after = {}
         for c in means:
             at = np.flatnonzero((names == c) & (sizes >= least))
-            at = at[np.argsort(which[at])]
             if not len(at):
                 continue
-            directions = sums[at] / np.maximum(np.linalg.norm(sums[at], axis=1, keepdims=True), 1e-12)
+            directions = _unit(sums[at])
             after[c] = directions[separate(directions, sizes[at], apart)]
         same = after.keys() == means.keys() and all(after[c].shape == means[c].shape and np.abs(after[c] - means[c]).max() < 1e-6 for c in after)
         means = after

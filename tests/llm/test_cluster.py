@@ -75,3 +75,10 @@ def test_clashing_columns(entries):
     df = entries(rows_of("c", clustered(7, [20], 5)))
     clash = df.selectExpr("*", "1 as cluster", "2 as n", "3 as pivot", "'x' as id", "'y' as part", "4 as edge", "5 as cosine")
     assert groups(cluster.clusters(clash)) == groups(cluster.clusters(df))
+
+
+def test_edge_pivots_start_whole_clusters(entries):
+    # Cosines within a cluster are near 0.42: hardly any two entries reach 0.5 with each other.
+    rows = rows_of("c", clustered(8, [12, 7, 20], 0, spread=0.104))
+    keys = lambda a, b: [f"k{i:05}" for i in range(a, b)]
+    assert groups(cluster.clusters(entries(rows), similar=0.2)) == {"c": [keys(0, 12), keys(12, 19), keys(19, 39)]}
