@@ -10,11 +10,18 @@ Parallel pivot correlation clustering, within each collection:
    the mean of all they drew. All entries are then given to the closest mean
    direction, if it reaches ``MEMBER``, the means are computed anew, and of two whose
    cosine exceeds ``APART`` the larger stays, until nothing changes.
-3. *Description.* Size and the members closest to the mean (the medoid first).
+3. *Overlooked clusters.* A cluster whose members went to several pivots, or to outliers,
+   starts from none. So every entry that reaches no mean is tried as a start of its
+   own, ``PIVOTS`` at a time, among the entries that reach none: the mean of its
+   surroundings, those of that mean, and only then ``MEMBER`` and ``LEAST``. Clusters
+   found so are added and the means settled anew. A start needs one neighbour that
+   reaches ``SIMILAR``.
+4. *Description.* Size and the members closest to the mean (the medoid first).
 
 Scale: a round reads each row once and moves only pivots out and one sum per pivot
 and batch back; a round of means moves one sum per cluster and partition. The driver holds ``PIVOTS`` vectors
 and one mean per cluster. A cluster that holds a third of all rows is never gathered.
+Work grows with the square of the entries that are like no other, in both 1 and 3.
 """
 
 from __future__ import annotations
@@ -114,7 +121,9 @@ def pivot_rounds(rows: DataFrame, similar: float, least: int, pivots: int, dimen
     return {c: np.stack(v) for c, v in found.items()}
 
 
-def _sums(means, member: float, dimensions: int):
+def _sums(means, member: float, dimensions: int, apiece: bool = False):
+    """Sums over the entries closest to each mean or, ``apiece``, over all that reach it."""
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -122,11 +131,18 @@ def _sums(means, member: float, dimensions: int):
                 mine = means.value.get(name)
                 if mine is None:
                     continue
+                if name not in total:
+                    total[name] = np.zeros((len(mine), dimensions)), np.zeros(len(mine), np.int64)
+                if apiece:
+                    for part in np.split(own, range(1_024, len(own), 1_024)):
+                        hit = part @ mine.T >= member
+                        near = np.flatnonzero(hit.any(0))
+                        total[name][0][near] += hit[:, near].T.astype(np.float32) @ part
+                        total[name][1][near] += hit[:, near].sum(0)
+                    continue
                 score = own @ mine.T
                 best = score.argmax(1)
                 hit = score[np.arange(len(own)), best] >= member
-                if name not in total:
-                    total[name] = np.zeros((len(mine), dimensions)), np.zeros(len(mine), np.int64)
                 for k, m in groups(best[hit]):
                     total[name][0][k] += own[hit][m].sum(0, dtype=np.float64)
                     total[name][1][k] += len(m)
@@ -190,6 +206,49 @@ def mean_rounds(rows: DataFrame, start: dict[str, np.ndarray], member: float, ap
     return means
 
 
+def _beyond(means, member: float, dimensions: int):
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = np.ones(batch.num_rows, bool)
+            for name, at, own in _by_collection(batch, dimensions):
+                mine = means.value.get(name)
+                if mine is not None:
+                    left[at] = (own @ mine.T).max(1) < member
+            yield batch.filter(pa.array(left))
+
+    return beyond
+
+
+def overlooked(rows: DataFrame, means: dict[str, np.ndarray], similar: float, member: float, apart: float, least: int, pivots: int, dimensions: int) -> dict[str, np.ndarray]:
+    """Mean directions, by collection, of clusters among the entries that reach none of
+    ``means``, no two of them and none of ``means`` closer than ``apart``."""
+    context = rows.sparkSession.sparkContext
+    shared = context.broadcast({c: m.astype(np.float32) for c, m in means.items()})
+    left = rows.select("id", "collection", "vector").mapInArrow(_beyond(shared, member, dimensions), "id long, collection string, vector array<float>").persist(StorageLevel.MEMORY_AND_DISK)
+    blocks, found = -(-left.count() // pivots), {}
+    for i in range(blocks):
+        block = left.filter(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)) == i).orderBy("id", "collection").select("collection", "vector").toArrow()
+        names, directions, sizes = np.array(block["collection"].to_pylist(), dtype=object), matrix(block["vector"], dimensions), None
+        for reach, enough in ((similar, 2), (similar, 2), (member, least)):
+            if not len(names):
+                break
+            seeds = context.broadcast({c: directions[names == c].astype(np.float32) for c in dict.fromkeys(names)})
+            names, _, sums, sizes = _added(left.select("collection", "vector").mapInArrow(_sums(seeds, reach, dimensions, True), SUMS), dimensions)
+            kept = sizes >= enough
+            names, directions, sizes = names[kept], _unit(sums[kept]), sizes[kept]
+        for c in dict.fromkeys(names):
+            old, at = found.get(c, (np.zeros((0, dimensions)), np.zeros(0, np.int64))), names == c
+            own, n = np.concatenate([old[0], directions[at]]), np.concatenate([old[1], sizes[at]])
+            if c in means:
+                free = (own @ means[c].T).max(1) <= apart
+                own, n = own[free], n[free]
+            kept = separate(own, n, apart)
+            if len(kept):
+                found[c] = own[kept], n[kept]
+    left.unpersist()
+    return {c: own for c, (own, _) in found.items()}
+
+
 def _assign(means, member: float, dimensions: int):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,6 +279,10 @@ def clusters(entries: DataFrame, similar: float = SIMILAR, member: float = MEMBE
     rows = current(entries, dimensions).persist(StorageLevel.MEMORY_AND_DISK)
     start = pivot_rounds(rows, similar, least, pivots, dimensions)
     means = mean_rounds(rows, start, member, apart, least, rounds, dimensions)
+    more = overlooked(rows, means, similar, member, apart, least, pivots, dimensions)
+    if more:
+        means = means | {c: np.concatenate([means[c], m]) if c in means else m for c, m in more.items()}
+        means = mean_rounds(rows, means, member, apart, least, rounds, dimensions)
     shared = rows.sparkSession.sparkContext.broadcast(means)
     return rows.select("collection", "key", "segment_id", "vector").mapInArrow(_assign(shared, member, dimensions), "collection string, key string, segment_id long, cluster int, cosine double")
 

@@ -82,3 +82,14 @@ def test_edge_pivots_start_whole_clusters(entries):
     rows = rows_of("c", clustered(8, [12, 7, 20], 0, spread=0.104))
     keys = lambda a, b: [f"k{i:05}" for i in range(a, b)]
     assert groups(cluster.clusters(entries(rows), similar=0.2)) == {"c": [keys(0, 12), keys(12, 19), keys(19, 39)]}
+
+
+def test_cluster_split_over_pivots(entries):
+    # Cosines are 0.4 within each half and 0.32 between them: any pivot draws three of the six.
+    e = np.eye(128)
+    rows = rows_of("c", [0.32**0.5 * e[0] + 0.08**0.5 * e[1 + i // 3] + 0.6**0.5 * e[3 + i] for i in range(6)])
+    noise = [("c", f"x{i}", e[20 + i]) for i in range(9)]
+    for pivots in (4096, 2):
+        assert groups(cluster.clusters(entries(rows + noise), pivots=pivots)) == {"c": [[f"k{i:05}" for i in range(6)]]}
+    planted = rows_of("c", clustered(9, [30], 0)) + [(c, f"z{k}", v, *x) for c, k, v, *x in rows]
+    assert [len(g) for g in groups(cluster.clusters(entries(planted)))["c"]] == [30, 6]
