@@ -41,7 +41,8 @@ PIVOTS = 4_096
 #: Cosines: of a pivot and those it absorbs; of a member and its mean; of two means.
 SIMILAR, MEMBER, APART = 0.35, 0.5, 0.45
 LEAST = 5
-ROUNDS = 12
+#: Rounds of means that are never needed; 2 or 3 are usual.
+ROUNDS = 500
 
 
 def choose_pivots(candidates: np.ndarray, similar: float) -> np.ndarray:
@@ -185,7 +186,8 @@ def separate(directions: np.ndarray, sizes: np.ndarray, apart: float) -> np.ndar
 
 
 def mean_rounds(rows: DataFrame, start: dict[str, np.ndarray], member: float, apart: float, least: int, rounds: int, dimensions: int) -> dict[str, np.ndarray]:
-    """Mean directions by collection once they no longer change, or after ``rounds``."""
+    """Mean directions by collection once they no longer change; an error if they still
+    do after ``rounds``."""
     means = start
     for _ in range(rounds):
         if not means:
@@ -203,6 +205,8 @@ def mean_rounds(rows: DataFrame, start: dict[str, np.ndarray], member: float, ap
         means = after
         if same:
             break
+    else:
+        raise RuntimeError(f"cluster means still change after {rounds} rounds")
     return means
 
 

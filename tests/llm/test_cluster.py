@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from vector_data import clustered, rows_of, unit
 
 from foldstone.llm import cluster
@@ -93,3 +94,12 @@ def test_cluster_split_over_pivots(entries):
         assert groups(cluster.clusters(entries(rows + noise), pivots=pivots)) == {"c": [[f"k{i:05}" for i in range(6)]]}
     planted = rows_of("c", clustered(9, [30], 0)) + [(c, f"z{k}", v, *x) for c, k, v, *x in rows]
     assert [len(g) for g in groups(cluster.clusters(entries(planted)))["c"]] == [30, 6]
+
+
+def test_means_that_still_change_are_an_error(entries):
+    rows = cluster.current(entries(rows_of("c", clustered(10, [30], 0))))
+    start = {"c": unit(clustered(10, [30], 0)[0])[None]}
+    settled = cluster.mean_rounds(rows, start, 0.5, 0.45, 5, 500, 128)
+    assert np.allclose(settled["c"], cluster.mean_rounds(rows, settled, 0.5, 0.45, 5, 1, 128)["c"])
+    with pytest.raises(RuntimeError):
+        cluster.mean_rounds(rows, start, 0.5, 0.45, 5, 1, 128)
