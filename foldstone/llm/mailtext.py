@@ -34,6 +34,7 @@ _ROUTING = regex.compile(
     r"|von|gesendet|an|de|para|enviado|à|envoyé)[ \t]*:.*|from \S+@.*)\n(?:[ \t]+\S.*\n)*",
     regex.M | regex.I,
 )
+_NOT_BASE64 = regex.compile(r"[^A-Za-z0-9+/]+")
 _HEADER = regex.compile(r"^(?=[A-Za-z][A-Za-z-]{1,30}: ?\S)", regex.M)
 
 
@@ -59,8 +60,9 @@ def _base64(body: str) -> bytes:
     packed = "".join(body.split())
     try:
         return base64.b64decode(packed + "=" * (-len(packed) % 4))
-    except (binascii.Error, ValueError):
-        return b""
+    except (binascii.Error, ValueError):  # broken: all that its whole groups say
+        parts = [_NOT_BASE64.sub("", p) for p in packed.split("=")]
+        return b"".join(base64.b64decode(p[: len(p) - (len(p) % 4 == 1)] + "=" * (-len(p) % 4 % 3)) for p in parts)
 
 
 def _unquote(text: str) -> str:
@@ -122,14 +124,19 @@ BESIDE = dict(zip("013456789$@", "oieasgtbgsa"))
 BETWEEN = dict(zip("!|+", "ilt"))
 SENTENCE_END = ".!?…。！？"
 LETTERS, BLANK, LINE, END = 27, 28, 29, 30  # classes from 1 to 26 are letters
-LONGEST, STRIDE, SHORTEST = 120, 60, 10
+LONGEST, STRIDE = 120, 60
 GRAM = 4
+#: Letters of the shortest passage that no stop ends; a sentence needs ``GRAM``.
+FRAGMENT = 10
+#: Code points beyond have no letters that look like Latin ones.
+POINTS = 0x20000
+_NAMED = regex.compile(r"(?:LATIN \w+|REGIONAL INDICATOR SYMBOL) LETTER ([A-Z])$")
 
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each code point, and the letters that signs stand for."""
-    kind = np.zeros(0x10000, np.uint8)
+    kind, beside, between = (np.zeros(POINTS, np.uint8) for _ in range(3))
     for cp in range(0x10000):
         if 0xD800 <= cp < 0xE000:
             continue
@@ -143,7 +150,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             kind[cp] = BLANK
         elif chr(cp) in SENTENCE_END:
             kind[cp] = END
-    beside, between = np.zeros(0x10000, np.uint8), np.zeros(0x10000, np.uint8)
+    for cp in range(0x10000, POINTS):  # mathematical, enclosed and the like
+        base = unicodedata.normalize("NFKD", chr(cp))[0].lower()
+        named = _NAMED.search(unicodedata.name(chr(cp), ""))
+        base = ALIKE.get(base) or (named.group(1).lower() if named else base)
+        if "a" <= base <= "z":
+            kind[cp] = ord(base) - 96
+        elif base in BESIDE:
+            beside[cp] = ord(BESIDE[base]) - 96
     for sign, letter in BESIDE.items():
         beside[ord(sign)] = ord(letter) - 96
     for sign, letter in BETWEEN.items():
@@ -157,7 +171,10 @@ class Letters:
     ``stream`` has the letters 1 … 26, doubled letters once, all else left out;
     passage ``i`` is ``stream[start[i]:end[i]]`` and belongs to text ``text[i]``.
     Sentences, lines of headers and paragraphs are passages; long ones are taken in
-    overlapping windows, short ones are left out.
+    overlapping windows. Sentences of fewer than ``GRAM`` letters, and fragments that no
+    stop ends of fewer than ``FRAGMENT``, are joined to the next passage of their
+    paragraph, or else to the one before. Those alone in theirs are left out: such
+    fragments are mostly names, which make poor examples.
     """
 
     def __init__(self, texts: list[str]):
@@ -166,7 +183,7 @@ class Letters:
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(p) + 2 for p in prepared], np.int64)
         table, beside, between = _tables()
-        points = np.where(points < 0x10000, points, 0).astype(np.uint16)
+        points = np.where(points < POINTS, points, 0)
         kind = table[points]
 
         def shifted(a: np.ndarray, by: int) -> np.ndarray:
@@ -205,13 +222,24 @@ class Letters:
         self.stream = code
         first = np.flatnonzero(np.diff(passage, prepend=-1)) if len(passage) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(passage)) if len(first) else first
+        close = np.append(np.flatnonzero(ends), len(kind))[passage[first]]  # where each passage ends
+        stop = np.append(kind, 0)[close] == END
+        if len(first) > 1:
+            hard = np.append(ends & (kind != END), False)
+            short, same = last - first < np.where(stop, GRAM, FRAGMENT), np.diff(np.cumsum(hard)[close] - hard[close]) == 0
+            joined = short[:-1] & same
+            joined[:-1] |= short[1:-1] & same[:-1] & ~same[1:]
+            joined[-1] |= short[-1] & same[-1]
+            first, last, stop = first[np.append(True, ~joined)], last[np.append(~joined, True)], stop[np.append(~joined, True)]
+        sentence = stop & (last - first >= GRAM)
         long = last - first > LONGEST
         if long.any():
             pieces = [(np.arange(a, max(b - STRIDE, a + 1), STRIDE), b) for a, b in zip(first[long], last[long])]
             more = np.concatenate([p for p, _ in pieces])
-            stop = np.concatenate([np.minimum(p + LONGEST, b) for p, b in pieces])
-            first, last = np.concatenate([first[~long], more]), np.concatenate([last[~long], stop])
-        enough = last - first >= SHORTEST
+            more_last = np.concatenate([np.minimum(p + LONGEST, b) for p, b in pieces])
+            sentence = np.concatenate([sentence[~long], np.zeros(len(more), bool)])
+            first, last = np.concatenate([first[~long], more]), np.concatenate([last[~long], more_last])
+        enough = sentence | (last - first >= FRAGMENT)
         self.start, self.end = first[enough], last[enough]
         bounds = np.cumsum(sizes)
         self.text = np.searchsorted(bounds, keep[self.start], side="right") if len(self.start) else np.zeros(0, np.int64)

@@ -123,3 +123,22 @@ def test_grams_stay_within_passages():
     again, where = grams_of(passages)
     assert codes.tolist() == again.tolist() and which.tolist() == where.tolist()
     assert len(codes) == sum(len(p) - GRAM + 1 for p in passages)
+
+
+def test_short_sentences_are_passages():
+    texts = ["Fuck you. See the report.", "You idiot!", "Read it now, please. You idiot", "Idiot!", "A word, my friend. Die!\n\nOk", "Die! You are late", "No.", "Go!\n\nLast line here"]
+    letters = Letters(texts)
+    own = [[p for p, t in zip(letters.passages(), letters.text) if t == i] for i in range(len(texts))]
+    assert own == [[b"fuckyou", b"sethereport"], [b"youidiot"], [b"readitnowpleaseyouidiot"], [b"idiot"], [b"awordmyfrienddie"], [b"dieyouarelate"], [], [b"lastlinehere"]]
+
+
+def test_letters_beyond_the_basic_plane():
+    assert Letters(["".join(chr(0x1D400 + ord(c) - 65) for c in "COMPLETEFOOL")]).passages() == [b"completefol"]
+    assert Letters(["".join(chr(0x1F150 + ord(c) - 65) for c in "COMPLETEFOOL") + "\U0001f600"]).passages() == [b"completefol"]
+
+
+def test_broken_base64_is_read_as_far_as_it_goes():
+    body = base64.b64encode(b"You are a complete and utter fool, sir.").decode()
+    head = "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n"
+    for cut in range(1, 4):
+        assert "complete and utter fool" in readable(head + body[:-cut] + "\n")
