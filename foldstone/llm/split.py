@@ -1,12 +1,9 @@
 """Splitting oversized texts at natural boundaries (problem 5).
 
-A text is a tree: blocks between blank lines, lines within blocks, sentences within
-lines, words within sentences, characters within words. Siblings are packed from
-the left up to the limit; where the subtree that comes next does not fit and the
-piece would stay under the least size, that subtree alone is opened and its parts
-are packed in its place. A level of the tree is kept as the sorted list of offsets
-at which its nodes end, so packing siblings is a binary search and opening a node
-is a step to the next list; no level is built before it is needed.
+The rule asked for fixes every cut: the last place of the strongest kind within a
+window. So no tree is built or packed; the ends of blocks (between blank lines), lines,
+sentences and words are kept as sorted lists of offsets, strongest first, and a cut is
+a binary search in each until one has an offset in the window.
 
 Scale: one narrow pass, no shuffle; texts under the limit never reach Python. A
 text is held by one task, whole, and costs time in proportion to its length.
