@@ -10,7 +10,7 @@ exact reranking, laid out for a join of a collection with itself:
    of ``PARTS`` bytes, to each list that probes its list. Whole batches travel as
    packed arrays, so a shuffle row is a block of vectors, not one vector.
 3. *Shortlist*: a task holds at most about ``BLOCK`` queries of one list and the codes
-   of the ``PROBES`` lists nearest to it; distances come from tables of the query's
+   of the ``PROBES`` or more lists nearest to it; distances come from tables of the query's
    products with the codebooks. Large lists are split into several such tasks.
 4. *Rerank*: the distinct vectors a task needs are fetched by id, once each, and the
    shortlists are ranked by their true cosines.
@@ -18,7 +18,9 @@ exact reranking, laid out for a join of a collection with itself:
 Exact copies would make shortlists arbitrary and lists hot. Of the copies of one
 vector only the ``k + 1`` with the smallest keys are indexed; each of the others has
 the first ``k`` of them as its most similar, which is what a full ranking with ties
-broken by key would give. Work per vector grows as the square root of a collection.
+broken by key would give. Work per vector grows as the
+3/4th power of a collection: lists with its root, lists probed and shortlists with
+the roots of the lists' number and of the entries', so that few are missed in large ones.
 """
 
 from __future__ import annotations
@@ -36,7 +38,10 @@ from pyspark.sql import functions as F
 from foldstone.llm.vectors import DIMENSIONS, current, groups, matrix
 
 PARTS, CODES = 32, 256
+#: The least of lists probed and of entries reranked; both grow with a collection.
 PROBES, SHORTLIST, BLOCK = 12, 20, 4_096
+#: Lists probed, as a multiple of the root of their number; entries for ``SHORTLIST``, which grows with their root.
+PROBED, ENTRIES = 2, 5_000
 #: Bounds of what is fitted on: vectors per collection and in all, collections with lists, lists in all.
 SAMPLE, SAMPLE_ALL, MAX_COLLECTIONS, MAX_LISTS = 4_096, 65_536, 1_024, 16_384
 #: Smaller collections have one list.
@@ -52,6 +57,7 @@ class Lists:
     directions: np.ndarray  # the same at unit length
     probed: np.ndarray  # (lists, probes): whose codes a list's queries look at
     blocks: np.ndarray  # tasks per list
+    shortlist: int = SHORTLIST  # entries that are reranked, at least
 
 
 @dataclass
@@ -114,9 +120,9 @@ def fit(entries: DataFrame, dimensions: int = DIMENSIONS, probes: int = PROBES,
         directions = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-12)
         near = (own @ directions.T).argmax(1)
         residuals.append(own - centers[near])
-        probed = np.argsort(-(directions @ directions.T), axis=1, kind="stable")[:, :probes]
+        probed = np.argsort(-(directions @ directions.T), axis=1, kind="stable")[:, : max(probes, int(np.ceil(PROBED * np.sqrt(k))))]
         blocks = np.ceil(np.bincount(near, minlength=k) / len(own) * n / BLOCK).astype(np.int64)
-        lists[c] = Lists(centers, directions, probed, np.maximum(blocks, 1))
+        lists[c] = Lists(centers, directions, probed, np.maximum(blocks, 1), int(np.ceil(SHORTLIST * np.sqrt(max(1, n / ENTRIES)))))
     rest = np.concatenate(residuals) if residuals else rows
     rest = rest[rng.permutation(len(rest))[: 2 * SAMPLE]]
     width = dimensions // PARTS
@@ -228,7 +234,7 @@ def _shortlist(index, size: int):
         q, ids = np.concatenate(q_ids), np.concatenate(c_ids)
         mix = np.argsort(ids, kind="stable")  # ids are hashes: every chunk is a fair sample of the lists
         ids = ids[mix]
-        best = shortlists(np.concatenate(q_rows).astype(np.float32), lists, ix.books, np.concatenate(c_list)[mix], np.concatenate(c_codes)[mix], size)
+        best = shortlists(np.concatenate(q_rows).astype(np.float32), lists, ix.books, np.concatenate(c_list)[mix], np.concatenate(c_codes)[mix], max(size, lists.shortlist + 1))
         chosen = ids[best]
         need = np.unique(np.concatenate([q, chosen.ravel()]))
         nothing = [None] * len(need)
@@ -256,9 +262,10 @@ def _rerank(k: int, dimensions: int):
         q_ids = np.concatenate([np.frombuffer(x, np.int64) for x in short["ids"].to_pylist()])
         chosen = np.frombuffer(b"".join(short["data"].to_pylist()), np.int64).reshape(len(q_ids), -1)
         out = []
-        for a in range(0, len(q_ids), 512):
-            q = by_id[np.searchsorted(sorted_ids, q_ids[a : a + 512])]
-            near = by_id[np.searchsorted(sorted_ids, chosen[a : a + 512])]
+        step = max(1, 12_288 // chosen.shape[1])  # bounds the vectors that are held twice
+        for a in range(0, len(q_ids), step):
+            q = by_id[np.searchsorted(sorted_ids, q_ids[a : a + step])]
+            near = by_id[np.searchsorted(sorted_ids, chosen[a : a + step])]
             sim = np.einsum("qd,qrd->qr", rows[q].astype(np.float64), rows[near].astype(np.float64))
             sim[near == q[:, None]] = -np.inf
             rank = np.lexsort((near, -sim), axis=1)[:, :k]

@@ -97,3 +97,10 @@ def test_distances_from_tables_equal_products_with_decoded_codes():
     want = np.argsort(-(q @ decoded.T), axis=1)[:, :20]
     got = ann.shortlists(q, lists, books, of, codes, 20)
     assert np.mean([len(set(a) & set(b)) for a, b in zip(got, want)]) > 19.9
+
+
+def test_probes_and_shortlists_grow_with_the_collection(entries):
+    rng = np.random.default_rng(5)
+    rows = ann.current(entries(rows_of("c", rng.normal(size=(6_000, 128)))))
+    lists = ann.fit(rows, probes=2).lists["c"]
+    assert lists.probed.shape == (19, 9) and lists.shortlist == 22
