@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldstone.llm import abuse, ann, cluster, mix, pack, split
 from foldstone.model import collection_of, table, text_or_empty
@@ -38,6 +39,25 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.pieces(records, ["collection", "key"], "body").distinct()
 
 
+def p5_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the tree of headings, lists and blocks; paths as text."""
+    records = table(spark, sf_dir, "records").select(collection_of().alias("collection"), text_or_empty("key").alias("key"), "body")
+    pieces = split.outline(records.distinct(), ["collection", "key"], "body")
+    return pieces.withColumn("path", F.array_join("path", " > "))
+
+
+def p5_outline_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose pieces are too long, leave something out or overlap wrongly: none."""
+    records = table(spark, sf_dir, "records").select(collection_of().alias("collection"), text_or_empty("key").alias("key"), "body").distinct()
+    pieces = p5_outline(spark, sf_dir).select("collection", "key", "piece", "start", "cut_at", F.md5("content").alias("digest"), F.length("content").alias("size"))
+    per = pieces.groupBy("collection", "key").agg(F.sort_array(F.collect_list(F.struct("piece", "start", "cut_at", "digest", "size"))).alias("p"))  # pieces of one text
+    both = records.filter("length(body) > 0").join(per, ["collection", "key"], "left")
+    fits = F.forall("p", lambda x: (x["size"] <= split.LIMIT) & (x["size"] == x["cut_at"] - x["start"]) & (F.md5(F.substring(F.col("body"), (x["start"] + 1).cast("int"), x["size"])) == x["digest"]))
+    follow = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i)["start"] == F.greatest(F.get("p", i - 1)["cut_at"] - split.OVERLAP, F.lit(0)))
+    whole = (F.get("p", F.lit(0))["start"] == 0) & (F.element_at("p", -1)["cut_at"] == F.length("body")) & ((F.size("p") == 1) | follow)
+    return both.filter(~F.coalesce(fits & whole, F.lit(False))).select("collection", "key")
+
+
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -74,6 +94,8 @@ QUERIES = {
     "p4_members": p4_members,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p5_outline": p5_outline,
+    "p5_outline_faults": p5_outline_faults,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
@@ -86,8 +108,26 @@ QUERIES = {
 _NORM = "sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
 _DOT = "list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
-#: Only p2_found has SQL: every pair by brute force, as the search must find them all.
+_SPACE = "(' ', chr(9), chr(13), chr(10))"
+#: Every place a text may be cut, by kind, and the cuts one after the other.
+_CUTS = f"""bodies AS (SELECT DISTINCT coalesce(nullif(collection, ''), 'documents') AS collection, coalesce(key, '') AS key, body, length(body) AS size FROM records WHERE body <> ''),
+  chars AS (SELECT collection, key, unnest(string_split(body, '')) AS ch, unnest(range(1, size + 1)) AS i FROM bodies WHERE size > 2000),
+  runs AS (SELECT *, ch IN {_SPACE} AS ws, count(*) FILTER (ch NOT IN {_SPACE}) OVER (PARTITION BY collection, key ORDER BY i) AS run FROM chars),
+  ends AS (SELECT collection, key, max(i) AS c, count(*) FILTER (ch = chr(10)) AS feeds, bool_or(ws) AS ws, max(ch) FILTER (NOT ws) AS before FROM runs GROUP BY collection, key, run),
+  marks AS (SELECT collection, key, c, CASE WHEN feeds >= 2 THEN 0 WHEN feeds = 1 THEN 1 WHEN before IN ('.', '!', '?', '。', '！', '？') THEN 2 ELSE 3 END AS kind
+    FROM ends WHERE ws OR before IN ('。', '！', '？')),
+  cut AS (SELECT collection, key, size, 0::BIGINT AS s, NULL::BIGINT AS c FROM bodies
+    UNION ALL SELECT collection, key, size, c - 200, c FROM (
+      SELECT p.collection, p.key, p.size, coalesce(arg_min(m.c, m.kind * 10000 - (m.c - p.s)), p.s + 2000) AS c FROM cut p
+      LEFT JOIN marks m ON m.collection = p.collection AND m.key = p.key AND m.c > p.s + 1000 AND m.c <= p.s + 2000 WHERE p.size - p.s > 2000 GROUP BY p.collection, p.key, p.size, p.s))"""
+
+#: p2_found: every pair by brute force, as the search must find them all. Queries named for faults give no row.
 SQL: dict[str, str] = {
+    "p5_found": f"WITH RECURSIVE {_CUTS} SELECT DISTINCT collection, key, c AS cut_at FROM cut WHERE c IS NOT NULL",
+    "p5_pieces": f"""WITH RECURSIVE {_CUTS}, all_ends AS (SELECT DISTINCT collection, key, c AS cut_at FROM cut WHERE c IS NOT NULL UNION SELECT collection, key, size FROM bodies),
+      placed AS (SELECT *, row_number() OVER w - 1 AS piece, coalesce(lag(cut_at) OVER w - 200, 0) AS start FROM all_ends WINDOW w AS (PARTITION BY collection, key ORDER BY cut_at))
+      SELECT p.collection, p.key, p.piece, p.start, p.cut_at, substr(b.body, p.start + 1, p.cut_at - p.start) AS content FROM placed p JOIN bodies b ON b.collection = p.collection AND b.key = p.key""",
+    "p5_outline_faults": "SELECT DISTINCT collection, key FROM records WHERE false",
     "p2_found": f"""
       WITH last AS (SELECT coalesce(nullif(collection, ''), 'documents') AS collection, coalesce(key, '') AS key, vector FROM index_entries
         QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(collection, ''), 'documents'), coalesce(key, '') ORDER BY coalesce(version, 0) DESC) = 1),

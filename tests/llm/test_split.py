@@ -95,3 +95,61 @@ def test_registry_cuts_are_within_bodies(spark, small):
     bodies = {(r["collection"] or "documents", r["key"] or ""): r["body"] or "" for r in table(spark, small, "records").collect()}
     want = {(c, k, x) for (c, k), b in bodies.items() for x in brute(b, LIMIT, OVERLAP, LEAST)}
     assert {tuple(r) for r in p5_found(spark, small).collect()} == want
+
+
+MARKED = """# Guide
+
+Opening words.
+
+## Setup
+
+- first item
+  - nested one
+  - nested two
+- second item
+
+```
+# no heading inside a fence
+```
+
+Title below
+===========
+
+<h2>Markup <b>here</b></h2><p>One.</p><ul><li>a</li><li>b</li></ul>
+"""
+
+
+def test_headings_of_all_kinds():
+    assert [(r, t) for _, r, t in split.headings(MARKED)] == [(1, "Guide"), (2, "Setup"), (1, "Title below"), (2, "Markup here")]
+
+
+def test_structure_keeps_whole_subtrees_and_opens_only_oversized_ones():
+    tree, _ = split.structured(MARKED)
+    stretches = [MARKED[a:b] for a, b in tree.packed(120, 120)]
+    assert "".join(stretches) == MARKED
+    assert stretches[0].startswith("# Guide") and stretches[1].startswith("## Setup")  # siblings of one section
+    assert any(s.startswith("Title below") for s in stretches)
+    lists = "- a\n  - aa\n  - ab\n- b\n  - ba\n  - bb\n"
+    assert [lists[a:b] for a, b in split.structured(lists)[0].packed(20, 20)] == ["- a\n  - aa\n  - ab\n", "- b\n  - ba\n  - bb\n"]
+    assert [lists[a:b] for a, b in split.structured(lists)[0].packed(12, 12)] == ["- a\n  - aa\n", "  - ab\n", "- b\n  - ba\n", "  - bb\n"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="#-ab \n.<hp1>=", max_size=200), st.integers(12, 60))
+def test_structured_pieces_hold_the_text(text, limit):
+    got = split.by_structure(text, limit, 4, 5)
+    assert all(0 < b - a <= limit for a, b, _ in got)
+    assert "".join(text[(a if not i else got[i - 1][1]) : b] for i, (a, b, _) in enumerate(got)) == text
+    assert all(b[0] == max(0, a[1] - 4) for a, b in zip(got, got[1:]))
+
+
+def test_outline_of_a_table(spark):
+    rows = [("c", "m", MARKED * 60), ("c", "n", None), ("c", "e", ""), ("c", "s", "short"), (None, None, "x" * 5000)]
+    df = spark.createDataFrame(rows, "collection string, key string, body string")
+    got = {}
+    for r in split.outline(df.selectExpr("*", "1 as path", "2 as content"), ["collection", "key"], "body").collect():
+        got.setdefault((r["collection"], r["key"]), []).append(r)
+    assert got.keys() == {("c", "m"), ("c", "s"), (None, None)}
+    long = sorted(got["c", "m"], key=lambda r: r["piece"])
+    assert all(len(r["content"]) <= 2000 for r in long) and "Guide" in long[1]["path"] or "Title below" in long[1]["path"]
+    assert split.outline(df.limit(0), ["key"], "body").count() == 0
