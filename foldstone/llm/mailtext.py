@@ -27,13 +27,15 @@ _CONTROL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _QUOTED = regex.compile(r"(?:=[0-9A-F]{2})+")
 _TAG = regex.compile(r"<(/?)(\w{1,10})\b[^<>]{0,2000}>")
 _BLOCKS = frozenset("p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 hr blockquote body html title head".split())
-_ADDRESS = regex.compile(r"[^\s<>]{1,100}@[\w-]{1,60}\.[\w.-]{1,60}")
-#: Lines of addresses, dates and numbers; their names are no language of the message.
+#: Lines of addresses, dates and numbers, and addresses anywhere. They are scored like all
+#: else, but hold mostly names and so make no examples.
 _ROUTING = regex.compile(
     r"^(?:(?:from|to|cc|bcc|sender|reply-to|return-path|received|date|sent|message-id|in-reply-to|references|mime-version|content-[a-z-]+"
-    r"|von|gesendet|an|de|para|enviado|à|envoyé)[ \t]*:.*|from \S+@.*)\n(?:[ \t]+\S.*\n)*",
+    r"|von|gesendet|an|de|para|enviado|à|envoyé)[ \t]*:.*|from \S+@.*)\n(?:[ \t]+\S.*\n)*|[^\s<>]{1,100}@[\w-]{1,60}\.[\w.-]{1,60}",
     regex.M | regex.I,
 )
+#: Private code points around such stretches.
+OPEN, CLOSE = "\ue000", "\ue001"
 _NOT_BASE64 = regex.compile(r"[^A-Za-z0-9+/]+")
 _HEADER = regex.compile(r"^(?=[A-Za-z][A-Za-z-]{1,30}: ?\S)", regex.M)
 
@@ -126,7 +128,7 @@ SENTENCE_END = ".!?…。！？"
 LETTERS, BLANK, LINE, END = 27, 28, 29, 30  # classes from 1 to 26 are letters
 LONGEST, STRIDE = 120, 60
 GRAM = 4
-#: Letters of the shortest passage that no stop ends; a sentence needs ``GRAM``.
+#: Shorter passages that no stop ends are fragments.
 FRAGMENT = 10
 #: Code points beyond have no letters that look like Latin ones.
 POINTS = 0x20000
@@ -165,6 +167,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, beside, between
 
 
+def _prepared(text: str) -> str:
+    if OPEN in text or CLOSE in text:
+        text = text.replace(OPEN, " ").replace(CLOSE, " ")
+    return _HEADER.sub("\n\n", _ROUTING.sub(lambda m: f"\n\n{OPEN}{m.group()}{CLOSE}\n\n", text))
+
+
+def _linked(short: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Which passages go together with the one behind them: short ones, and those before
+    a short one that has no other behind it. ``same``: both are of one group."""
+    return short[:-1] & same | short[1:] & same & ~np.append(same[1:], False)
+
+
 class Letters:
     """Passages of a batch of texts.
 
@@ -173,15 +187,18 @@ class Letters:
     Sentences, lines of headers and paragraphs are passages; long ones are taken in
     overlapping windows. Sentences of fewer than ``GRAM`` letters, and fragments that no
     stop ends of fewer than ``FRAGMENT``, are joined to the next passage of their
-    paragraph, or else to the one before. Those alone in theirs are left out: such
-    fragments are mostly names, which make poor examples.
+    paragraph, or else to the one before; passages that are still shorter than ``GRAM`` to
+    the next or the one before of their text. So every letter is in a passage, but for texts of
+    fewer than ``GRAM`` in all. ``example`` tells which passages may serve as examples:
+    not those of address lines, nor fragments, which are mostly names.
     """
 
     def __init__(self, texts: list[str]):
-        prepared = [_HEADER.sub("\n\n", _ADDRESS.sub("\n\n", _ROUTING.sub("\n", t))) if t else "" for t in texts]
+        prepared = [_prepared(t) if t else "" for t in texts]
         whole = "\n\n".join([*prepared, ""])
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(p) + 2 for p in prepared], np.int64)
+        bounds = np.cumsum(np.array([len(p) + 2 for p in prepared], np.int64))
+        inside = np.cumsum((points == ord(OPEN)).astype(np.int8) - (points == ord(CLOSE)).astype(np.int8), dtype=np.int8) > 0
         table, beside, between = _tables()
         points = np.where(points < POINTS, points, 0)
         kind = table[points]
@@ -224,24 +241,27 @@ class Letters:
         last = np.append(first[1:], len(passage)) if len(first) else first
         close = np.append(np.flatnonzero(ends), len(kind))[passage[first]]  # where each passage ends
         stop = np.append(kind, 0)[close] == END
+
+        def join(linked: np.ndarray) -> None:
+            nonlocal first, last, stop
+            begins, finishes = np.append(True, ~linked), np.append(~linked, True)
+            first, last, stop = first[begins], last[finishes], stop[finishes]
+
         if len(first) > 1:
             hard = np.append(ends & (kind != END), False)
-            short, same = last - first < np.where(stop, GRAM, FRAGMENT), np.diff(np.cumsum(hard)[close] - hard[close]) == 0
-            joined = short[:-1] & same
-            joined[:-1] |= short[1:-1] & same[:-1] & ~same[1:]
-            joined[-1] |= short[-1] & same[-1]
-            first, last, stop = first[np.append(True, ~joined)], last[np.append(~joined, True)], stop[np.append(~joined, True)]
-        sentence = stop & (last - first >= GRAM)
+            join(_linked(last - first < np.where(stop, GRAM, FRAGMENT), np.diff(np.cumsum(hard)[close] - hard[close]) == 0))
+        if len(first) > 1:
+            join(_linked(last - first < GRAM, np.diff(np.searchsorted(bounds, keep[first], side="right")) == 0))
+        example = (stop | (last - first >= FRAGMENT)) & ~inside[keep[first]]
         long = last - first > LONGEST
         if long.any():
             pieces = [(np.arange(a, max(b - STRIDE, a + 1), STRIDE), b) for a, b in zip(first[long], last[long])]
             more = np.concatenate([p for p, _ in pieces])
             more_last = np.concatenate([np.minimum(p + LONGEST, b) for p, b in pieces])
-            sentence = np.concatenate([sentence[~long], np.zeros(len(more), bool)])
+            example = np.concatenate([example[~long], np.repeat(example[long], [len(p) for p, _ in pieces])])
             first, last = np.concatenate([first[~long], more]), np.concatenate([last[~long], more_last])
-        enough = sentence | (last - first >= FRAGMENT)
-        self.start, self.end = first[enough], last[enough]
-        bounds = np.cumsum(sizes)
+        enough = last - first >= GRAM
+        self.start, self.end, self.example = first[enough], last[enough], example[enough]
         self.text = np.searchsorted(bounds, keep[self.start], side="right") if len(self.start) else np.zeros(0, np.int64)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -254,6 +274,9 @@ class Letters:
             rolled = rolled * 26 + (self.stream[i : i + len(rolled)].astype(np.int32) - 1)
         return rolled[at], passage
 
+    def passage(self, i: int) -> bytes:
+        return (self.stream[self.start[i] : self.end[i]] + 96).tobytes()
+
     def passages(self) -> list[bytes]:
         letters = (self.stream + 96).tobytes()
         return [letters[a:b] for a, b in zip(self.start.tolist(), self.end.tolist())]

@@ -83,7 +83,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.rates(table(spark, sf_dir, "documents"), p8_scores(spark, sf_dir))
+    return abuse.rates(p8_scores(spark, sf_dir))
 
 
 QUERIES = {

@@ -63,7 +63,8 @@ def test_hidden_spellings(spark):
     got = {r["doc_id"]: r for r in abuse.scores(docs, reviewed).collect()}
     for i in range(len(odd)):
         r = got[len(texts) + i]
-        assert r["score"] >= abuse.THRESHOLD, odd[i]
+        assert r["abusive"], odd[i]
+        assert r["passage"] and r["evidence"]
         assert truth[r["evidence_doc_id"]] and r["evidence_similarity"] >= abuse.FLOOR
 
 
@@ -80,7 +81,7 @@ def test_rates_and_clashing_columns(spark):
     docs, reviewed = tables(spark, texts, [(i, int(b), "r") for i, b in enumerate(truth)])
     scored = abuse.scores(docs.selectExpr("*", "1 as score", "2 as label", "3 as passages", "4 as abusive"), reviewed.selectExpr("*", "'x' as text", "1 as label"))
     assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, abuse.scores(docs, reviewed).collect()))
-    got = {r["source"]: r for r in abuse.rates(docs, scored).collect()}
+    got = {r["source"]: r for r in abuse.rates(scored).collect()}
     found = {r["doc_id"] for r in abuse.abusive(scored).collect()}
     assert got[None]["documents"] == 150 and got[None]["abusive"] == sum(i % 2 == 0 for i in found)
     assert got["s"]["rate"] == pytest.approx(sum(i % 2 for i in found) / 150)
@@ -117,8 +118,8 @@ def test_the_index_finds_exactly_the_similar_examples():
 def test_grams_stay_within_passages():
     letters = Letters(["abcdefghijkl mnop. qrstuvwxyzab!\n\nshort", None or "", "aaaabbbbccccddddeeeeffffgggghhhhiiiijjjj"])
     passages = letters.passages()
-    assert passages == [b"abcdefghijklmnop", b"qrstuvwxyzab", b"abcdefghij"]
-    assert letters.text.tolist() == [0, 0, 2]
+    assert passages == [b"abcdefghijklmnop", b"qrstuvwxyzab", b"short", b"abcdefghij"]
+    assert letters.text.tolist() == [0, 0, 0, 2] and letters.example.tolist() == [True, True, False, True]
     codes, which = letters.grams()
     again, where = grams_of(passages)
     assert codes.tolist() == again.tolist() and which.tolist() == where.tolist()
@@ -129,7 +130,7 @@ def test_short_sentences_are_passages():
     texts = ["Fuck you. See the report.", "You idiot!", "Read it now, please. You idiot", "Idiot!", "A word, my friend. Die!\n\nOk", "Die! You are late", "No.", "Go!\n\nLast line here"]
     letters = Letters(texts)
     own = [[p for p, t in zip(letters.passages(), letters.text) if t == i] for i in range(len(texts))]
-    assert own == [[b"fuckyou", b"sethereport"], [b"youidiot"], [b"readitnowpleaseyouidiot"], [b"idiot"], [b"awordmyfrienddie"], [b"dieyouarelate"], [], [b"lastlinehere"]]
+    assert own == [[b"fuckyou", b"sethereport"], [b"youidiot"], [b"readitnowpleaseyouidiot"], [b"idiot"], [b"awordmyfrienddieok"], [b"dieyouarelate"], [], [b"golastlinehere"]]
 
 
 def test_letters_beyond_the_basic_plane():
@@ -142,3 +143,36 @@ def test_broken_base64_is_read_as_far_as_it_goes():
     head = "Content-Type: text/plain\nContent-Transfer-Encoding: base64\n\n"
     for cut in range(1, 4):
         assert "complete and utter fool" in readable(head + body[:-cut] + "\n")
+
+
+SHORT = ["You idiot!", "fuck you", "Fuck off.\n\nRegards", "an: you filthy worthless idiot, go away\n", "Hello,\nto: fuck you\n\nbye", "fuck.you@example.com", "".join(chr(0x1D41A + ord(c) - 97) for c in "fuckyou")]
+
+
+def test_short_texts_and_lines_of_addresses_are_scored(spark):
+    rnd = random.Random(6)
+    bad = ["You idiot!", "Fuck you.", "Fuck off.", "Go away you filthy worthless idiot.", "You filthy worthless idiot."]
+    texts, labels = [], []
+    for i in range(300):
+        text = message(rnd, False)
+        texts.append(text.replace("\n\n", f"\n\n{rnd.choice(bad)}\n\n", 1) if i % 4 == 0 else text)
+        labels.append((i, int(i % 4 == 0), "r"))
+    docs, reviewed = tables(spark, texts + SHORT, labels)
+    got = {r["doc_id"]: r for r in abuse.scores(docs, reviewed).collect()}
+    assert [t for i, t in enumerate(SHORT) if not got[300 + i]["abusive"]] == []
+
+
+def test_every_letter_is_in_a_passage():
+    texts = ["To: ab example,\n  de f\nSubject: x\n\nHi\n\nGo on. No\n\n9\n\nIt", "", "ab", "abc\ndefg"]
+    letters = Letters(texts)
+    want = [sum(c.isascii() and c.isalpha() for c in t) for t in texts]
+    got = [sum(e - s for s, e, t in zip(letters.start, letters.end, letters.text) if t == i) for i in range(len(texts))]
+    assert got == [want[0], 0, 0, 7]
+    assert not letters.example[letters.text == 0][0]
+
+
+def test_isotonic_scores_and_threshold():
+    votes, label = np.array([0, 0, 0.2, 0.4, 0.6, 0.7, 0.9, 0.95]), np.array([0, 0, 0, 1, 0, 1, 1, 1.0])
+    x, y = abuse.isotonic(votes, label)
+    assert (np.diff(y) >= 0).all() and np.interp([0.1, 0.5, 0.92], x, y).tolist() == [0, 0.5, 1]
+    assert 0.6 < abuse.best_threshold(votes, label) < 0.7
+    assert abuse.best_threshold(np.zeros(5), np.ones(5)) == abuse.USUAL == abuse.best_threshold(np.zeros(0), np.zeros(0))
