@@ -162,7 +162,7 @@ def test_short_texts_and_lines_of_addresses_are_scored(spark):
 
 
 def test_every_letter_is_in_a_passage():
-    texts = ["To: ab example,\n  de f\nSubject: x\n\nHi\n\nGo on. No\n\n9\n\nIt", "", "ab", "abc\ndefg"]
+    texts = ["To: ab example,\n  de f\nSubject: x\n\nHi\n\nGo in. No\n\n9\n\nIt", "", "ab", "abc\ndefg"]
     letters = Letters(texts)
     want = [sum(c.isascii() and c.isalpha() for c in t) for t in texts]
     got = [sum(e - s for s, e, t in zip(letters.start, letters.end, letters.text) if t == i) for i in range(len(texts))]
@@ -174,5 +174,5 @@ def test_isotonic_scores_and_threshold():
     votes, label = np.array([0, 0, 0.2, 0.4, 0.6, 0.7, 0.9, 0.95]), np.array([0, 0, 0, 1, 0, 1, 1, 1.0])
     x, y = abuse.isotonic(votes, label)
     assert (np.diff(y) >= 0).all() and np.interp([0.1, 0.5, 0.92], x, y).tolist() == [0, 0.5, 1]
-    assert 0.6 < abuse.best_threshold(votes, label) < 0.7
+    assert abuse.best_threshold(votes, label) == pytest.approx(0.3)
     assert abuse.best_threshold(np.zeros(5), np.ones(5)) == abuse.USUAL == abuse.best_threshold(np.zeros(0), np.zeros(0))
