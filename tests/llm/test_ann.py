@@ -86,21 +86,52 @@ def test_empty_and_clashing_columns(entries):
     assert found(ann.nearest(clash)) == found(ann.nearest(df))
 
 
+def recall(got, want):
+    hits = sum(len({n for n, _ in got.get(k, [])} & {n for n, _ in v}) for k, v in want.items())
+    return hits / sum(len(v) for v in want.values())
+
+
+def test_fewer_lists_are_probed_than_there_are(entries):
+    rows = rows_of("c", clustered(11, [400, 300, 250, 200, 150, 100, 100], 100)) + rows_of("small", clustered(12, [30], 5))
+    df = entries(rows)
+    lists = ann.fit(ann.current(df), probes=5, size=64).lists
+    assert set(lists) == {"c"} and len(lists["c"].directions) >= 20 and lists["c"].probed.shape[1] == 5
+    got, want = found(ann.nearest(df, probes=5, size=64)), brute(rows, 5)
+    assert got.keys() == want.keys() and recall(got, want) >= 0.9
+
+
+def test_collections_of_several_cells(entries):
+    rows = rows_of("c", clustered(13, [300, 200, 200, 100, 100], 100))
+    ix = ann.fit(ann.current(entries(rows)), probes=6, size=32, cell=4)
+    lists = ix.lists["c"]
+    assert len(lists.cells) == 8 and lists.begins[-1] == len(lists.directions)
+    vectors_ = np.stack([unit(r[2]) for r in rows]).astype(np.float32)
+    home, best = lists.home(vectors_), (vectors_ @ lists.directions.T).argmax(1)
+    assert (home == best).mean() > 0.9
+    assert (lists.probed == np.arange(len(lists.directions))[:, None]).any(1).all()
+
+
 def test_distances_from_tables_equal_products_with_decoded_codes():
     rng = np.random.default_rng(0)
-    lists = ann.Lists(rng.normal(size=(3, 128)).astype(np.float32), None, None, None)
-    books = rng.normal(size=(ann.PARTS, 256, 4)).astype(np.float32)
+    unit_rows = lambda n: (lambda m: (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32))(rng.normal(size=(n, 128)))
+    centroids, books = 0.5 * unit_rows(3), (rng.normal(size=(ann.PARTS, 256, 4)) * 0.07).astype(np.float32)
     codes = rng.integers(0, 256, size=(9000, ann.PARTS)).astype(np.uint8)
-    of = rng.integers(0, 3, size=9000)
-    q = rng.normal(size=(300, 128)).astype(np.float32)
-    decoded = lists.centroids[of] + np.concatenate([books[p][codes[:, p]] for p in range(ann.PARTS)], axis=1)
+    of, q = rng.integers(0, 3, size=9000), unit_rows(300)
+    decoded = centroids[of] + np.concatenate([books[p][codes[:, p]] for p in range(ann.PARTS)], axis=1)
     want = np.argsort(-(q @ decoded.T), axis=1)[:, :20]
-    got = ann.shortlists(q, lists, books, of, codes, 20)
-    assert np.mean([len(set(a) & set(b)) for a, b in zip(got, want)]) > 19.9
+    got = ann.shortlists(q, centroids, books, of, codes, 20)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(got, want)]) > 19.8
 
 
-def test_probes_and_shortlists_grow_with_the_collection(entries):
+def test_copies_of_a_code_do_not_grow_with_a_collection():
     rng = np.random.default_rng(5)
-    rows = ann.current(entries(rows_of("c", rng.normal(size=(6_000, 128)))))
-    lists = ann.fit(rows, probes=2).lists["c"]
-    assert lists.probed.shape == (19, 9) and lists.shortlist == 22
+    copies = []
+    for n in (500_000, 5_000_000):  # entries, in lists of the usual size
+        k = n // ann.LIST
+        cells = ann.directions_of(rng.normal(size=(-(-k // ann.CELL), 128)).astype(np.float32))[0]
+        cell = np.sort(rng.integers(0, len(cells), k))
+        centers = (cells[cell] + 0.1 * rng.normal(size=(k, 128))).astype(np.float32)
+        lists = ann.arrange(centers, np.full(k, ann.LIST), cell, cells)
+        assert np.bincount(lists.group).max() * ann.LIST <= 2 * ann.BLOCK
+        copies.append(len(lists.seeking) / k)
+    assert max(copies) <= ann.PROBES and copies[1] <= 1.1 * copies[0]
