@@ -381,7 +381,7 @@ def _shortlist(index, size: int):
     return shortlist
 
 
-def _steps(short: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def steps(short: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Queries and their shortlists, few at a time: bounds the vectors that are held twice."""
     for ids, data in zip(short["ids"].to_pylist(), short["data"].to_pylist()):
         q = np.frombuffer(ids, np.int64)
@@ -391,23 +391,27 @@ def _steps(short: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield q[a : a + step], chosen[a : a + step]
 
 
+def looked_up(fetched: pa.Table, owner: pa.Scalar, dimensions: int, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and vectors that a task fetched, by key, and the places of the sorted ids."""
+    fetched = fetched.filter(pc.equal(fetched["owner"], owner))
+    keys = np.array(fetched["key"].to_pylist(), dtype=object)
+    order = np.argsort(keys, kind="stable")  # position = rank of the key
+    return keys[order], fetched["id"].to_numpy()[order], matrix(fetched["vector"], dimensions, kind)[order] if len(keys) else np.zeros((0, dimensions), kind)
+
+
 def _rerank(k: int, dimensions: int):
     def rerank(key: tuple, fetched: pa.Table, short: pa.Table) -> pa.Table:
         empty = pa.Table.from_batches([_batch([], RANKED)])
-        fetched = fetched.filter(pc.equal(fetched["owner"], key[0]))
-        if not len(short) or not len(fetched):
+        keys, ids, rows = looked_up(fetched, key[0], dimensions, np.float64)
+        if not len(short) or not len(keys):
             return empty
-        keys = np.array(fetched["key"].to_pylist(), dtype=object)
-        order = np.argsort(keys, kind="stable")  # position = rank of the key
-        keys, ids = keys[order], fetched["id"].to_numpy()[order]
-        rows = matrix(fetched["vector"], dimensions)[order]
         by_id = np.argsort(ids, kind="stable")
         sorted_ids = ids[by_id]
         out = []
-        for ids, data in _steps(short):
+        for ids, data in steps(short):
             q = by_id[np.searchsorted(sorted_ids, ids)]
             near = by_id[np.searchsorted(sorted_ids, data)]
-            sim = np.einsum("qd,qrd->qr", rows[q].astype(np.float64), rows[near].astype(np.float64))
+            sim = np.einsum("qd,qrd->qr", rows[q], rows[near])
             sim[near == q[:, None]] = -np.inf
             rank = np.lexsort((near, -sim), axis=1)[:, :k]
             best, value = np.take_along_axis(near, rank, 1), np.take_along_axis(sim, rank, 1)
@@ -426,6 +430,12 @@ def _rerank(k: int, dimensions: int):
 def search_all(entries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, dimensions: int = DIMENSIONS, probes: int = PROBES, size: int = LIST) -> DataFrame:
     """For each distinct vector of ``entries`` (as ``vectors.current`` gives them) its
     ``k`` most similar others of the collection: ``RANKED`` rows."""
+    return search_with(entries, _rerank(k, dimensions), RANKED, max(shortlist, k), dimensions, probes, size)
+
+
+def search_with(entries: DataFrame, rank, schema: str, shortlist: int = SHORTLIST, dimensions: int = DIMENSIONS, probes: int = PROBES, size: int = LIST) -> DataFrame:
+    """What ``rank`` makes of each group's vectors and shortlists: a function of the
+    group's key (collection first) and its fetched and shortlist tables."""
     spark = entries.sparkSession
     index = spark.sparkContext.broadcast(fit(entries, dimensions, probes, size))
     group = ["collection", "home"]
@@ -433,7 +443,7 @@ def search_all(entries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, dimen
         entries.select("collection", "id", "vector")
         .mapInArrow(_route(index), ROUTED)
         .groupBy(*group)
-        .applyInArrow(_shortlist(index, max(shortlist, k) + 1), SHORT)
+        .applyInArrow(_shortlist(index, shortlist + 1), SHORT)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     short.count()  # both branches below read it; begun together, they would both make it
@@ -442,7 +452,7 @@ def search_all(entries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, dimen
     # equal hash brings in from another collection is left out when ranking.
     fetched = wanted.join(entries.select("id", F.col("collection").alias("owner"), "key", "vector"), "id")
     lists = short.filter("id is null").select(*[F.col(c).alias(f"of_{c}") for c in group], "ids", "data")
-    return fetched.groupBy(*group).cogroup(lists.groupBy(*[f"of_{c}" for c in group])).applyInArrow(_rerank(k, dimensions), RANKED)
+    return fetched.groupBy(*group).cogroup(lists.groupBy(*[f"of_{c}" for c in group])).applyInArrow(rank, schema)
 
 
 def nearest(entries: DataFrame, k: int = 5, shortlist: int = SHORTLIST, dimensions: int = DIMENSIONS, probes: int = PROBES, size: int = LIST) -> DataFrame:

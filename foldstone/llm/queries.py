@@ -10,11 +10,11 @@ from foldstone.model import collection_of, table, text_or_empty
 
 
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "index_entries"))
+    return ann.nearest(table(spark, sf_dir, "index_entries")).withColumns({"similarity": F.round("similarity", 6), "rank": F.col("rank").cast("bigint")})
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.similar_pairs(p2_nearest(spark, sf_dir))
+    return ann.similar_pairs(ann.nearest(table(spark, sf_dir, "index_entries")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.clusters(table(spark, sf_dir, "index_entries"))
 
 
+def p4_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and clusters that break a condition of the division: none."""
+    entries = table(spark, sf_dir, "index_entries")
+    return cluster.faults(entries, cluster.clusters(entries))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "records").select(collection_of().alias("collection"), text_or_empty("key").alias("key"), "body")
     return split.cut_points(records, ["collection", "key"], "body")
@@ -92,6 +98,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
     "p4_members": p4_members,
+    "p4_faults": p4_faults,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p5_outline": p5_outline,
@@ -108,6 +115,13 @@ QUERIES = {
 _NORM = "sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
 _DOT = "list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
+#: The five nearest of each entry by brute force.
+_NEAR = f"""last AS (SELECT coalesce(nullif(collection, ''), 'documents') AS collection, coalesce(key, '') AS key, vector FROM index_entries
+    QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(collection, ''), 'documents'), coalesce(key, '') ORDER BY coalesce(version, 0) DESC) = 1),
+  usable AS (SELECT *, {_NORM.format(v="vector")} AS norm FROM last
+    WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 128 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+  near AS (SELECT a.collection, a.key, b.key AS other, {_DOT} / a.norm / b.norm AS cosine, row_number() OVER (PARTITION BY a.collection, a.key ORDER BY cosine DESC, b.key) AS rank
+    FROM usable a JOIN usable b ON a.collection = b.collection AND a.key <> b.key QUALIFY rank <= 5)"""
 _SPACE = "(' ', chr(9), chr(13), chr(10))"
 #: Every place a text may be cut, by kind, and the cuts one after the other.
 _CUTS = f"""bodies AS (SELECT DISTINCT coalesce(nullif(collection, ''), 'documents') AS collection, coalesce(key, '') AS key, body, length(body) AS size FROM records WHERE body <> ''),
@@ -128,12 +142,7 @@ SQL: dict[str, str] = {
       placed AS (SELECT *, row_number() OVER w - 1 AS piece, coalesce(lag(cut_at) OVER w - 200, 0) AS start FROM all_ends WINDOW w AS (PARTITION BY collection, key ORDER BY cut_at))
       SELECT p.collection, p.key, p.piece, p.start, p.cut_at, substr(b.body, p.start + 1, p.cut_at - p.start) AS content FROM placed p JOIN bodies b ON b.collection = p.collection AND b.key = p.key""",
     "p5_outline_faults": "SELECT DISTINCT collection, key FROM records WHERE false",
-    "p2_found": f"""
-      WITH last AS (SELECT coalesce(nullif(collection, ''), 'documents') AS collection, coalesce(key, '') AS key, vector FROM index_entries
-        QUALIFY row_number() OVER (PARTITION BY coalesce(nullif(collection, ''), 'documents'), coalesce(key, '') ORDER BY coalesce(version, 0) DESC) = 1),
-      usable AS (SELECT *, {_NORM.format(v="vector")} AS norm FROM last
-        WHERE len(vector) = 128 AND len(list_filter(vector, lambda x: x IS NOT NULL AND isfinite(x))) = 128 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
-      near AS (SELECT a.collection, a.key, b.key AS other, {_DOT} / a.norm / b.norm AS cosine FROM usable a JOIN usable b ON a.collection = b.collection AND a.key <> b.key
-        QUALIFY row_number() OVER (PARTITION BY a.collection, a.key ORDER BY cosine DESC, b.key) <= 5)
-      SELECT DISTINCT collection, least(key, other) AS key_a, greatest(key, other) AS key_b FROM near WHERE cosine >= 0.85""",
+    "p2_found": f"WITH {_NEAR} SELECT DISTINCT collection, least(key, other) AS key_a, greatest(key, other) AS key_b FROM near WHERE cosine >= 0.85",
+    "p2_nearest": f"WITH {_NEAR} SELECT collection, key, other AS neighbour, round(least(cosine, 1), 6) AS similarity, rank FROM near",
+    "p4_faults": "SELECT collection, key, '' AS fault FROM index_entries WHERE false",
 }

@@ -60,15 +60,15 @@ def current(entries: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return last.select("id", "collection", "key", "row.segment_id", "row.vector").filter(usable(F.col("vector"), dimensions))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """An Arrow column of usable vectors as unit rows, float32, without Python objects."""
+def matrix(column: pa.Array | pa.ChunkedArray, dimensions: int = DIMENSIONS, kind: type = np.float32) -> np.ndarray:
+    """An Arrow column of usable vectors as unit rows, without Python objects."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    rows = np.array(flat, dtype=np.float32).reshape(-1, dimensions)
+    rows = np.array(flat, dtype=kind).reshape(-1, dimensions)
     scale = np.abs(rows).max(axis=1, keepdims=True)  # keeps squares in range
     rows /= np.where(scale > 0, scale, 1)
-    rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))[:, None].astype(np.float32)
+    rows /= np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))[:, None].astype(kind)
     return rows
 
 

@@ -14,11 +14,10 @@ def groups(df):
 
 def test_planted_clusters_come_out(entries):
     rows = rows_of("c", clustered(1, [60, 30, 5], 40)) + rows_of(None, clustered(2, [20, 4], 10))
-    for pivots in (4096, 7):
-        got = groups(cluster.clusters(entries(rows), pivots=pivots))
-        keys = lambda a, b: [f"k{i:05}" for i in range(a, b)]
-        assert got["c"] == sorted([keys(0, 60), keys(60, 90), keys(90, 95)])
-        assert got["documents"] == [keys(0, 20)]
+    got = groups(cluster.clusters(entries(rows)))
+    keys = lambda a, b: [f"k{i:05}" for i in range(a, b)]
+    assert got["c"] == sorted([keys(0, 60), keys(60, 90), keys(90, 95)])
+    assert got["documents"] == [keys(0, 20)]
 
 
 def test_members_are_closest_to_their_own_mean(entries):
@@ -90,8 +89,7 @@ def test_cluster_split_over_pivots(entries):
     e = np.eye(128)
     rows = rows_of("c", [0.32**0.5 * e[0] + 0.08**0.5 * e[1 + i // 3] + 0.6**0.5 * e[3 + i] for i in range(6)])
     noise = [("c", f"x{i}", e[20 + i]) for i in range(9)]
-    for pivots in (4096, 2):
-        assert groups(cluster.clusters(entries(rows + noise), pivots=pivots)) == {"c": [[f"k{i:05}" for i in range(6)]]}
+    assert groups(cluster.clusters(entries(rows + noise))) == {"c": [[f"k{i:05}" for i in range(6)]]}
     planted = rows_of("c", clustered(9, [30], 0)) + [(c, f"z{k}", v, *x) for c, k, v, *x in rows]
     assert [len(g) for g in groups(cluster.clusters(entries(planted)))["c"]] == [30, 6]
 
@@ -103,3 +101,29 @@ def test_means_that_still_change_are_an_error(entries):
     assert np.allclose(settled["c"], cluster.mean_rounds(rows, settled, 0.5, 0.45, 5, 1, 128)["c"])
     with pytest.raises(RuntimeError):
         cluster.mean_rounds(rows, start, 0.5, 0.45, 5, 1, 128)
+
+
+def test_local_minima_equal_pivots_taken_one_by_one():
+    rng = np.random.default_rng(11)
+    v = np.stack([unit(x) for x in clustered(12, [30, 20, 5], 60)])
+    order = rng.permutation(len(v))
+    pivot = cluster.local_minima(v, order, 0.35)
+    free, want = set(range(len(v))), []
+    for i in np.argsort(order):
+        if i in free:
+            want.append(i)
+            free -= {j for j in free if v[i] @ v[j] >= 0.35} | {i}
+    assert sorted(set(pivot.tolist())) == sorted(want)
+    for i, p in enumerate(pivot):
+        near = [j for j in want if v[i] @ v[j] >= 0.35]
+        assert p == i if i in want else v[i] @ v[p] == pytest.approx(max(v[i] @ v[j] for j in near))
+
+
+def test_half_noise_takes_few_levels(entries, monkeypatch):
+    fits = []
+    fit = cluster.ann.fit
+    monkeypatch.setattr(cluster.ann, "fit", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    rows = rows_of("c", clustered(13, [400, 300, 200, 100], 1000))
+    got = groups(cluster.clusters(entries(rows)))["c"]
+    assert [len(g) for g in got] == [400, 300, 200, 100]
+    assert len(fits) <= 5  # levels, and the search for what they overlooked
