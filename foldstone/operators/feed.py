@@ -1,7 +1,7 @@
 """A change feed of puts and deletes, applied in order (problem 3; C1, C4, C6).
 
-The feed is kept as two sets of files: inserts, and equality deletes that name a
-key and the sequence number from which they hold. A reader drops every insert that
+The feed is kept as two sets of files (``append_feed``): inserts, and equality deletes
+that name a key and the sequence number from which they hold. A reader drops every insert that
 a delete of its key follows (an anti-join on key and sequence number) and folds
 what is left by the store's rules:
 
@@ -23,11 +23,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldstone.model import collection_of, number_or_zero, text_or_empty
-from foldstone.runtime import cut
+from foldstone.runtime import cut, scratch
 
 HOT = 20_000
 SLICE = 1 << 16
@@ -51,10 +51,8 @@ class Feed:
     deletes: DataFrame  # collection, key, seq: holds against inserts with a smaller seq
 
 
-def split_feed(mutations: DataFrame) -> Feed:
-    """The feed's inserts and its equality deletes; malformed rows (neither operation,
-    or no key) and rows without ``seq`` belong to neither."""
-    rows = mutations.select(
+def _changes(mutations: DataFrame) -> DataFrame:
+    return mutations.select(
         collection_of().alias("collection"),
         F.col("key"),
         F.col("seq"),
@@ -62,18 +60,35 @@ def split_feed(mutations: DataFrame) -> Feed:
         number_or_zero("version").alias("version"),
         text_or_empty("mutation_id").alias("mid"),
     ).filter("key <> '' and seq is not null and op is not null")
+
+
+def split_feed(mutations: DataFrame) -> Feed:
+    """The feed's inserts and its equality deletes; malformed rows (neither operation,
+    or no key) and rows without ``seq`` belong to neither."""
+    rows = _changes(mutations)
     return Feed(rows.filter("op = 'P'").drop("op"), rows.filter("op = 'D'").select("collection", "key", "seq"))
 
 
 def append_feed(mutations: DataFrame, path: str) -> None:
-    """Append a batch to ``path/inserts`` and ``path/deletes``; neither is ever rewritten."""
-    feed = split_feed(mutations)
-    feed.inserts.write.mode("append").parquet(f"{path}/inserts")
-    feed.deletes.write.mode("append").parquet(f"{path}/deletes")
+    """Append a batch to the files of inserts, ``path/kind=insert``, and of equality deletes,
+    ``path/kind=delete``, in one pass; neither is ever rewritten."""
+    rows = _changes(mutations).withColumn("kind", F.when(F.col("op") == "P", "insert").otherwise("delete"))
+    rows.drop("op").write.mode("append").partitionBy("kind").parquet(path)
+
+
+def read_feed(spark: SparkSession, path: str) -> Feed:
+    """The feed in the files at ``path``; a path without files is an empty feed."""
+    schema = "collection string, key string, seq bigint, version bigint, mid string, kind string"
+    rows = spark.read.schema(schema).parquet(path)
+    return Feed(rows.filter("kind = 'insert'").drop("kind"), rows.filter("kind = 'delete'").select("collection", "key", "seq"))
 
 
-def read_feed(spark, path: str) -> Feed:
-    return Feed(spark.read.parquet(f"{path}/inserts"), spark.read.parquet(f"{path}/deletes"))
+def through_files(mutations: DataFrame) -> Feed:
+    """The feed after a way through files of its own in the shared folder: ``mutations`` are
+    scanned once, and what follows reads keys, numbers and ids alone."""
+    path = scratch(mutations.sparkSession, "feed")
+    append_feed(mutations, path)
+    return read_feed(mutations.sparkSession, path)
 
 
 def fold_column(changes: Column) -> Column:
@@ -267,9 +282,12 @@ def current_state(feed: Feed, hot: int = HOT, span: int = SLICE) -> DataFrame:
 
 
 def rebuild(mutations: DataFrame, hot: int = HOT, span: int = SLICE) -> DataFrame:
-    """The full current records: the fold decides by ids alone, and the winners'
-    sequence numbers then fetch the records, so bodies are shuffled only once."""
-    state = current_state(split_feed(mutations), hot, span).select(F.col("seq").alias("live_seq"))
-    rows = mutations.filter(operation("op") == "P").join(state, F.col("seq") == F.col("live_seq"), "left_semi")
+    """The full current records: the fold decides by ids alone, and the winners' keys and
+    sequence numbers then fetch the records, so bodies are shuffled only once. Sequence
+    numbers need be unique within a key only."""
+    won = current_state(through_files(mutations), hot, span).select(F.col("collection").alias("w_collection"), F.col("key").alias("w_key"), F.col("seq").alias("w_seq"))
+    named = mutations.filter(operation("op") == "P").withColumn("collection", collection_of())
+    at = (F.col("collection") == F.col("w_collection")) & (F.col("key") == F.col("w_key")) & (F.col("seq") == F.col("w_seq"))
+    rows = named.join(won, at, "left_semi")
     fields = [c for c in rows.columns if c not in ("op", "collection")]
-    return rows.withColumn("collection", collection_of()).select("collection", *fields).dropDuplicates(["seq"])
+    return rows.select("collection", *fields).dropDuplicates(["collection", "key", "seq"])

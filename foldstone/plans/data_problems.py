@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldstone.model import table
 from foldstone.operators import dedup, feed
+from foldstone.runtime import scratch
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,27 @@ def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("delivery_id", "batch_id", "node_id", "key", "version", "updated_at_unix_ms", "mutation_id")
 
 
+def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeats a message of its own or of an earlier batch, in four batches."""
+    deliveries, store = table(spark, sf_dir, "deliveries"), dedup.SeenStore(spark, scratch(spark, "seen"))
+    out = None
+    for i in range(4):
+        found = store.take(deliveries.filter(F.col("batch_id") % 4 == i))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.current_state(feed.split_feed(table(spark, sf_dir, "mutations"))).select("collection", "key", "seq")
+    return feed.current_state(feed.through_files(table(spark, sf_dir, "mutations"))).select("collection", "key", "seq")
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after a feed that was appended to in three batches, out of order."""
+    mutations, path = table(spark, sf_dir, "mutations"), scratch(spark, "feed")
+    part = F.pmod(F.xxhash64("key", "seq"), F.lit(3))
+    for i in range(3):
+        feed.append_feed(mutations.filter(part == i), path)
+    return feed.current_state(feed.read_feed(spark, path))
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +53,7 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p1_seen_ranges": p1_seen_ranges, "p3_found": p3_found, "p3_records": p3_records}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p1_batches, p1_seen_ranges, p3_found, p3_files, p3_records)}
 
 COPIES = """
   SELECT *, row_number() OVER (
@@ -73,11 +93,15 @@ SQL = {
           regexp_extract(mutation_id, '([0-9]+)$', 1) AS digits
         FROM deliveries
         WHERE regexp_full_match(mutation_id, '.+:[0-9]+:(0|[1-9][0-9]{0,17})|[A-Za-z]+-(0|[1-9][0-9]{0,17})')),
-      numbers AS (SELECT producer, digits::BIGINT AS n, digits::BIGINT // 4096 AS block FROM parsed),
-      islands AS (SELECT producer, block, n, n - row_number() OVER (PARTITION BY producer, block ORDER BY n) AS island FROM numbers)
-      SELECT producer, min(n) AS lo, max(n) AS hi FROM islands GROUP BY producer, block, island""",
+      numbers AS (SELECT producer, digits::BIGINT AS n FROM parsed),
+      islands AS (SELECT producer, n, n - row_number() OVER (PARTITION BY producer ORDER BY n) AS island FROM numbers)
+      SELECT producer, min(n) AS lo, max(n) AS hi FROM islands GROUP BY producer, island""",
+    "p1_batches": """WITH named AS (SELECT *, coalesce(nullif(collection, ''), 'documents') AS c, coalesce(key, '') AS k FROM deliveries WHERE mutation_id <> ''),
+      copies AS (SELECT delivery_id, row_number() OVER (PARTITION BY c, k, mutation_id ORDER BY batch_id % 4, coalesce(nullif(updated_at_unix_ms, 0), 9223372036854775807), delivery_id) AS copy FROM named)
+      SELECT delivery_id FROM copies WHERE copy > 1""",
+    "p3_files": f"{FOLD} SELECT collection, key, s.seq AS seq, s.version AS version, s.mid AS mutation_id FROM folded WHERE s.op = 'p'",
     "p3_found": f"{FOLD} SELECT collection, key, s.seq AS seq FROM folded WHERE s.op = 'p'",
     "p3_records": f"""{FOLD}, live AS (SELECT collection, key, s.seq AS seq FROM folded WHERE s.op = 'p')
       SELECT DISTINCT l.collection, l.key, l.seq, m.title, m.body, coalesce(m.version, 0) AS version, coalesce(m.mutation_id, '') AS mutation_id
-      FROM live l JOIN mutations m ON m.seq = l.seq""",
+      FROM live l JOIN mutations m ON m.seq = l.seq AND m.key = l.key AND coalesce(nullif(m.collection, ''), 'documents') = l.collection""",
 }

@@ -9,6 +9,7 @@ from foldstone.model import table
 from foldstone.operators import feed, kv, routing, state
 from foldstone.plans.inputs import STATE, records
 from foldstone.plans.writes import SQL as WRITES
+from foldstone.runtime import scratch
 from foldstone.sources import snapshots
 
 PLAIN = ["collection", "key", "title", "version", "mutation_id"]
@@ -19,14 +20,14 @@ def kv_prefix(spark, d):
 
 
 def snapshot_round_trip(spark, d):
-    path = snapshots.scratch(spark, "snapshot")
+    path = scratch(spark, "snapshot")
     snapshots.write_snapshot(records(spark, d), path)
     return snapshots.read_snapshot(spark, path).select(*PLAIN)
 
 
 def snapshot_and_log(spark, d):
     """The state after a stored snapshot and a log appended to in two batches."""
-    snapshot, path = snapshots.scratch(spark, "snapshot"), snapshots.scratch(spark, "log")
+    snapshot, path = scratch(spark, "snapshot"), scratch(spark, "log")
     snapshots.write_snapshot(records(spark, d), snapshot)
     log = table(spark, d, "mutations").withColumn("op", feed.operation("op")).filter("op is not null and key <> ''")
     late = F.col("updated_at_unix_ms") % 2 == 0

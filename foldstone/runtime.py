@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,16 +29,42 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the one the session names in
-    ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary one."""
+    ``spark.checkpoint.dir``; only where that is unset, and on one machine (tests, a
+    laptop), a temporary one, which goes when the process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if getattr(sc, "_foldstone_folder", None) is None:
         sc._foldstone_folder = tempfile.mkdtemp(prefix="foldstone-")
+        atexit.register(shutil.rmtree, sc._foldstone_folder, ignore_errors=True)
     return sc._foldstone_folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables that are written and read again; it is
+    deleted when the session's process ends."""
+    path = f"{shared_folder(spark)}/foldstone/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if getattr(sc, "_foldstone_scratch", None) is None:
+        sc._foldstone_scratch = []
+        atexit.register(_sweep, sc)
+    sc._foldstone_scratch.append(path)
+    return path
+
+
+def _sweep(sc) -> None:
+    """Delete the scratch folders of a context that still runs, through its file system."""
+    try:
+        for path in sc._foldstone_scratch:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the context is gone; the folder's owner sweeps it
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run ``df`` once and keep its rows as a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from foldstone.model import MUTATION, RECORD, collection_of, text_or_empty
-from foldstone.runtime import shared_folder
 
 
 def write_snapshot(records: DataFrame, path: str) -> None:
@@ -37,8 +34,3 @@ def deliver(tasks: DataFrame, path: str) -> None:
     """Records of migration tasks, into one folder per target node (A18); for streams,
     to be called from ``foreachBatch``."""
     tasks.write.mode("append").partitionBy("target_id").parquet(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, for tables that a query writes and reads again."""
-    return f"{shared_folder(spark)}/foldstone/{name}-{uuid.uuid4().hex}"

@@ -61,8 +61,31 @@ def test_batches_one_after_another(spark):
     ranges = seen.ranges.collect()
     by = {}
     for r in ranges:
-        by.setdefault((r["producer"], r["block"]), []).append((r["lo"], r["hi"]))
+        by.setdefault(r["producer"], []).append((r["lo"], r["hi"]))
     for spans in by.values():
         spans.sort()
         assert all(a[1] + 1 < b[0] for a, b in zip(spans, spans[1:]))
     assert any(r["hi"] > r["lo"] for r in ranges)
+
+
+def test_ranges_that_meet_become_one(spark):
+    numbers = [*range(4090, 4100), 8191, 8192, 9000, *range(20_000, 40_000, 4096)]
+    rows = [(i, "c", "k", f"p-{n}", i) for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "delivery_id bigint, collection string, key string, mutation_id string, updated_at_unix_ms bigint")
+    first = dedup.deduplicate(df.filter("delivery_id % 2 = 0"))
+    both = dedup.deduplicate(df.filter("delivery_id % 2 = 1"), first.seen)
+    want = [(4090, 4099), (8191, 8192), (9000, 9000), *[(n, n) for n in range(20_000, 40_000, 4096)]]
+    assert sorted((r["lo"], r["hi"]) for r in both.seen.ranges.collect()) == want
+    assert both.duplicates.count() == 0
+    again = dedup.deduplicate(df, both.seen)
+    assert again.duplicates.count() == len(numbers)
+    assert sorted((r["lo"], r["hi"]) for r in again.seen.ranges.collect()) == want
+
+
+def test_batches_through_a_store(spark, tmp_path):
+    store = dedup.SeenStore(spark, str(tmp_path / "seen"))
+    batch = lambda *rows: spark.createDataFrame(list(rows), "delivery_id bigint, collection string, key string, mutation_id string, updated_at_unix_ms bigint")
+    take = lambda *rows: sorted(r[0] for r in store.take(batch(*rows)).collect())
+    assert take((1, "c", "a", "n:9:1", 5), (2, "c", "a", "n:9:2", 5), (3, "c", "a", "odd", 5), (4, "c", "a", "odd", 4)) == [3]
+    assert take((5, "c", "a", "n:9:2", 1), (6, "c", "b", "n:9:2", 1), (7, "c", "a", "n:8:3", 1), (8, "c", "a", "odd", 1)) == [5, 8]
+    assert take() == [] and take((9, "c", "b", "n:9:2", 0), (10, None, "a", "n:8:3", 0)) == [9]

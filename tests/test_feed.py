@@ -96,3 +96,24 @@ def test_appended_files(spark, tmp_path):
         feed.append_feed(frame(spark, [r for r in rows if r[0] % 3 == i]), str(tmp_path / "feed"))
     got = feed.current_state(feed.read_feed(spark, str(tmp_path / "feed")), 30, 64)
     assert {(r["collection"], r["key"], r["seq"]) for r in got.collect()} == expected(rows)
+
+
+def test_sequence_numbers_need_be_unique_within_a_key_only(spark):
+    rows = [(1, "put", "c", "a", "A"), (1, "put", "c", "b", "B"), (2, "put", "d", "a", "C"), (2, "delete", "c", "b", None)]
+    df = spark.createDataFrame([(*r[:4], None, r[4], {}, None, None, None) for r in rows], "seq bigint, op string, collection string, key string, title string, body string, metadata map<string,string>, version bigint, updated_at_unix_ms bigint, mutation_id string")
+    got = {(r["collection"], r["key"]): r["body"] for r in feed.rebuild(df).collect()}
+    assert got == {("c", "a"): "A", ("d", "a"): "C"}
+
+
+def test_files_are_appended_to(spark, tmp_path):
+    schema = "seq bigint, op string, collection string, key string, version bigint, mutation_id string"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    path = str(tmp_path / "feed")
+    feed.append_feed(batch((5, "delete", None, "a", None, None), (2, "put", None, "b", 0, "m")), path)
+    feed.append_feed(batch((4, " PUT", "documents", "a", 1, "n"), (7, "nonsense", "documents", "b", 1, "n")), path)
+    read = lambda: {(r["key"], r["seq"]) for r in feed.current_state(feed.read_feed(spark, path)).collect()}
+    assert read() == {("b", 2)}
+    feed.append_feed(batch((6, "p", "", "a", 1, "n")), path)
+    assert read() == {("a", 6), ("b", 2)}
+    feed.append_feed(batch(), path)
+    assert read() == {("a", 6), ("b", 2)}
