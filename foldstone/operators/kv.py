@@ -1,7 +1,8 @@
 """Reads over the record state (B1–B14) and its sets.
 
 Records may occur several times unchanged; reads give each (collection, key) once.
-Collection and key filters reach the scan; no read gathers more than its limit.
+Collection and key filters reach the scan of a table that is handed over as it is
+stored, nulls and repeats included; no read gathers more than its limit.
 """
 
 from __future__ import annotations

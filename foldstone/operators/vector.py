@@ -2,7 +2,7 @@
 
 Few queries are scored by a Column expression; blocks of queries by one matrix
 product per Arrow batch, with a top-k per batch before anything is shuffled. An
-inverted file narrows the entries by an equi-join on the list.
+inverted file narrows the entries of a batch, list by list, to those that a query probes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foldstone.functions.text import matches_filters
 
@@ -52,49 +54,68 @@ def top_k(entries: DataFrame, query: list[float], k: int, collection: str | None
     return rows.filter(wanted).select("key", "score", "metadata").orderBy(*order).limit(k)
 
 
-def _score_block(queries: list[tuple[int, list[float]]], k: int):
-    sizes = {}
-    for qid, v in queries:
-        sizes.setdefault(len(v), []).append((qid, v))
-    blocks = [(n, np.array([q for q, _ in own], np.int64), np.array([v for _, v in own], np.float64).reshape(len(own), n)) for n, own in sizes.items()]
+Block = list[tuple[np.ndarray, np.ndarray]]  # per length: ids, and the queries as rows
 
+
+def _blocks(queries: DataFrame) -> Block:
+    """Queries (qid, vector), at most a block of them, by length."""
+    got = queries.filter("qid is not null and vector is not null").select("qid", F.col("vector").cast("array<double>").alias("vector")).toArrow()
+    ids, rows = got["qid"].to_numpy().astype(np.int64), got["vector"].combine_chunks()
+    sizes = pc.list_value_length(rows).to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, int)
+    return [(ids[sizes == n], rows.filter(pa.array(sizes == n)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)) for n in np.unique(sizes)]
+
+
+def _best(total: np.ndarray, ids: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of the ``k`` best of each row; ties of the last place stay in."""
+    kept = min(k, total.shape[1])
+    floor = -np.partition(-total, kept - 1, axis=1)[:, kept - 1]
+    q, i = np.nonzero(total >= floor[:, None])
+    return ids[q], places[i], total[q, i]
+
+
+def _score(shared, k: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) if v is not None else -1 for v in batch["vector"].to_pylist()]) if batch.num_rows else np.zeros(0, int)
-            out_q, out_i, out_s = [], [], []
-            for n, ids, matrix in blocks:
-                total = np.full((len(ids), batch.num_rows), -1.0)
-                same = np.flatnonzero(lengths == n)
+            if not batch.num_rows:
+                continue
+            lengths = pc.fill_null(pc.list_value_length(batch["vector"]), -1).to_numpy(zero_copy_only=False)
+            found = []
+            for ids, rows in shared.value:
+                n = rows.shape[1]
+                total, same = np.full((len(ids), batch.num_rows), -1.0), np.flatnonzero(lengths == n)
                 if len(same):
                     own = batch["vector"].take(pa.array(same))
-                    total[:, same] = matrix @ own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(same), n).T
-                kept = min(k, batch.num_rows)
-                if not kept:
-                    continue
-                floor = -np.partition(-total, kept - 1, axis=1)[:, kept - 1]
-                q, i = np.nonzero(total >= floor[:, None])  # ties of the last place stay in
-                out_q.append(ids[q])
-                out_i.append(i)
-                out_s.append(total[q, i])
-            if out_q:
-                i = pa.array(np.concatenate(out_i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), batch["key"].take(i), pa.array(np.concatenate(out_s))], names=["qid", "key", "score"])
+                    total[:, same] = rows @ own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(same), n).T
+                found.append(_best(total, ids, np.arange(batch.num_rows), k))
+            if found:
+                yield _scored(batch, found)
 
     return score
 
 
+def _scored(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    q, i, s = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(q), batch["key"].take(pa.array(i)), pa.array(s)], names=["qid", "key", "score"])
+
+
+SCORED = "qid bigint, key string, score double"
+
+
+def _in_blocks(queries: DataFrame, block: int) -> Iterator[DataFrame]:
+    n = queries.count()
+    for i in range(max(1, -(-n // block))):
+        yield queries if n <= block else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // block))) == i)
+
+
 def top_k_batch(entries: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``qid, key, score, rank`` for a table of queries (qid, vector) over all entries.
 
-    Queries are taken ``block`` at a time, so that what is sent out is bounded; each
+    Queries are taken ``block`` at a time, so that what is broadcast is bounded; each
     Arrow batch of entries hands on its ``k`` best per query only.
     """
-    n = queries.count()
-    found = None
-    for i in range(max(1, -(-n // block))):
-        part = queries if n <= block else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(-(-n // block))) == i)
-        own = [(r["qid"], list(r["vector"])) for r in part.select("qid", "vector").collect()]
-        got = entries.select("key", "vector").mapInArrow(_score_block(own, k), "qid bigint, key string, score double")
+    found, context = None, entries.sparkSession.sparkContext
+    for part in _in_blocks(queries, block):
+        got = entries.select("key", "vector").mapInArrow(_score(context.broadcast(_blocks(part)), k), SCORED)
         found = got if found is None else found.unionByName(got)
     return rank(found, k)
 
@@ -113,14 +134,30 @@ def fit_lists(entries: DataFrame, lists: int, seed: int = 7, least_per_list: int
     return [c.tolist() for c in model.clusterCenters()]
 
 
-def nearest_lists(vector: Column, centroids: list[list[float]], n: int) -> Column:
+def nearest_lists(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` lists whose centroids score highest, ties to the smaller number."""
-    scores = F.array(*[F.struct((-dot(vector, literal(c))).alias("s"), F.lit(i).alias("list")) for i, c in enumerate(centroids)])
-    return F.transform(F.slice(F.array_sort(scores), 1, n), lambda x: x["list"])
+    return np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :n]
+
+
+def _homes(shared):
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, n = batch["vector"], shared.value.shape[1]
+            lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+            same, home = np.flatnonzero(lengths == n), np.zeros(batch.num_rows, np.int32)  # others score -1 everywhere
+            if len(same):
+                rows = vectors.take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                home[same] = nearest_lists(rows, shared.value, 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], names=[*batch.schema.names, "list_id"])
+
+    return homes
 
 
 def assign_lists(entries: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    return entries.withColumn("list_id", nearest_lists(F.col("vector"), centroids, 1)[0])
+    """``entries`` with ``list_id``; a column of that name is replaced."""
+    shared = entries.sparkSession.sparkContext.broadcast(np.array(centroids, np.float64))
+    own = entries.drop("list_id")
+    return own.mapInArrow(_homes(shared), StructType([*own.schema.fields, StructField("list_id", IntegerType())]))
 
 
 def probes_for(lists: int, probes: int = 0) -> int:
@@ -128,22 +165,54 @@ def probes_for(lists: int, probes: int = 0) -> int:
     return min(lists, probes if probes > 0 else max(1, int(lists**0.5)))
 
 
-def ivf_top_k(indexed: DataFrame, queries: DataFrame, centroids: list[list[float]], k: int, probes: int = 0, buffered: DataFrame | None = None) -> DataFrame:
+def _probe(shared, k: int):
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, asking = shared.value  # asking: per list the places of the queries that probe it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lengths = pc.fill_null(pc.list_value_length(batch["vector"]), -1).to_numpy(zero_copy_only=False)
+            lists, found = batch["list_id"].to_numpy(zero_copy_only=False), []
+            for li in np.unique(lists):
+                at, own = np.flatnonzero(lists == li), asking[int(li)]
+                if not len(own):
+                    continue
+                total, same = np.full((len(own), len(at)), -1.0), np.flatnonzero(lengths[at] == rows.shape[1])
+                if len(same):
+                    vectors = batch["vector"].take(pa.array(at[same])).flatten().to_numpy(zero_copy_only=False)
+                    total[:, same] = rows[own] @ vectors.astype(np.float64).reshape(len(same), -1).T
+                found.append(_best(total, ids[own], at, k))
+            if found:
+                yield _scored(batch, found)
+
+    return probe
+
+
+def ivf_top_k(indexed: DataFrame, queries: DataFrame, centroids: list[list[float]], k: int, probes: int = 0, buffered: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """``qid, key, score, rank`` from the lists nearest to each query (D6), together with
     entries that wait in no list yet, which are scored exactly (D7, D8, I2).
 
-    ``indexed`` has ``list_id`` and is best stored partitioned by it.
+    ``indexed`` has ``list_id`` and is best stored sorted by it. Queries, taken ``block`` at a
+    time, are broadcast; a batch's entries meet, list by list, the queries that probe the list.
+    Queries of another length than the centroids' find nothing in lists.
     """
-    n = probes_for(len(centroids), probes)
-    asked = queries.select("qid", F.col("vector").alias("q_vector"), F.explode(nearest_lists(F.col("vector"), centroids, n)).alias("list_id"))
-    near = indexed.select("key", "vector", "list_id").join(asked, "list_id")
-    found = near.select("qid", "key", dot(F.col("vector"), F.col("q_vector")).alias("score"))
+    n, centers, found = probes_for(len(centroids), probes), np.array(centroids, np.float64), None
+    for part in _in_blocks(queries, block):
+        fit = [(ids, rows) for ids, rows in _blocks(part) if rows.shape[1] == centers.shape[1]]
+        ids, rows = fit[0] if fit else (np.zeros(0, np.int64), np.zeros((0, centers.shape[1])))
+        near = nearest_lists(rows, centers, n)
+        asking = [np.flatnonzero((near == li).any(1)) for li in range(len(centers))]
+        shared = indexed.sparkSession.sparkContext.broadcast((ids, rows, asking))
+        got = indexed.select("key", "vector", "list_id").mapInArrow(_probe(shared, k), SCORED)
+        found = got if found is None else found.unionByName(got)
     if buffered is not None:
-        found = found.unionByName(top_k_batch(buffered, queries, k).select("qid", "key", "score"))
+        found = found.unionByName(top_k_batch(buffered, queries, k, block).select("qid", "key", "score"))
     return rank(found, k)
 
 
 def latest_vectors(upserts: DataFrame) -> DataFrame:
-    """The entries a log of index writes (seq, op, collection, key, vector) leaves (C11)."""
-    last = upserts.groupBy("collection", "key").agg(F.max_by(F.struct("op", "vector"), "seq").alias("r"))
-    return last.filter("r.op = 'P' and size(r.vector) > 0").select("collection", "key", "r.vector")
+    """The entries a log of index writes (seq, op, collection, key, vector, and metadata if
+    it has that) leaves (C11)."""
+    kept = [c for c in ("metadata", "vector") if c in upserts.columns]
+    last = upserts.groupBy("collection", "key").agg(F.max_by(F.struct("op", *kept), "seq").alias("r"))
+    return last.filter("r.op = 'P' and size(r.vector) > 0").select("collection", "key", *[f"r.{c}" for c in kept])

@@ -17,14 +17,19 @@ LOG = """log AS (SELECT event_id AS seq, {op} AS op, {collection} AS collection,
 HASH60 = "('0x' || substr(md5({x}), 1, 15))::BIGINT"
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored records, each once, without nulls but for metadata."""
-    r = table(spark, sf_dir, "records")
-    clean = r.select(
+def filled(rows: DataFrame) -> DataFrame:
+    """Records without nulls but for metadata; other columns stay."""
+    own = ["collection", "key", "title", "body", "metadata", "version", "updated_at_unix_ms", "mutation_id"]
+    return rows.select(
+        *[c for c in rows.columns if c not in own],
         collection_of().alias("collection"), *[text_or_empty(c).alias(c) for c in ("key", "title", "body")], "metadata",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("version", "updated_at_unix_ms")], text_or_empty("mutation_id").alias("mutation_id"),
     )
-    return clean.dropDuplicates(["collection", "key"])
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored records, each once, without nulls but for metadata."""
+    return filled(table(spark, sf_dir, "records")).dropDuplicates(["collection", "key"])
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +38,18 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.lit("vectors").alias("collection"), key.alias("key"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.col("embedding").alias("vector"))
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """The first vectors as queries (qid, vector)."""
-    return entries(spark, sf_dir).filter(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), "vector")
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as a query (qid, vector)."""
+    return entries(spark, sf_dir).filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), "vector")
+
+
+def first_vectors(spark: SparkSession, sf_dir: str, n: int) -> list[list[float]]:
+    """The first vectors, as a query or as centroids."""
+    return [list(r["vector"]) for r in entries(spark, sf_dir).filter(F.col("vec_id") < n).orderBy("vec_id").select("vector").collect()]
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(vector_queries(spark, sf_dir, 1).head()["vector"])
+    return first_vectors(spark, sf_dir, 1)[0]
 
 
 def event_log(spark: SparkSession, sf_dir: str, deletes: bool = False, repeats: bool = False) -> DataFrame:

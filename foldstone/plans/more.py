@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldstone.functions import service
 from foldstone.model import table
 from foldstone.operators import feed, kv, routing, state
-from foldstone.plans.inputs import STATE, records
+from foldstone.plans.inputs import STATE, filled, records
 from foldstone.plans.writes import SQL as WRITES
 from foldstone.runtime import scratch
 from foldstone.sources import snapshots
@@ -16,7 +16,7 @@ PLAIN = ["collection", "key", "title", "version", "mutation_id"]
 
 
 def kv_prefix(spark, d):
-    return kv.prefix_scan(records(spark, d), "documents", "doc-", 100).select(*PLAIN)
+    return filled(kv.prefix_scan(table(spark, d, "records"), "documents", "doc-", 100)).select(*PLAIN)
 
 
 def snapshot_round_trip(spark, d):

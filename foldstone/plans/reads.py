@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foldstone.functions import embed, text, wordpiece
 from foldstone.model import table
 from foldstone.operators import kv, search
-from foldstone.plans.inputs import STATE, records
+from foldstone.plans.inputs import STATE, filled, records
 from foldstone.runtime import spread
 from foldstone.sources import legacy, requests, wire
 
@@ -18,32 +18,32 @@ PLAIN = ["collection", "key", "title", "version", "mutation_id"]
 
 
 def kv_get(spark, d):
-    return kv.get(records(spark, d), "documents", "doc-0000000040").select(*PLAIN)
+    return filled(kv.get(table(spark, d, "records"), "documents", "doc-0000000040")).select(*PLAIN)
 
 
 def kv_multi_get(spark, d):
     refs = spark.createDataFrame(REFERENCES, "ord int, collection string, key string")
-    return kv.multi_get(records(spark, d), refs).select("ord", *PLAIN)
+    return filled(kv.multi_get(table(spark, d, "records"), refs)).select("ord", *PLAIN)
 
 
 def kv_range(spark, d):
-    return kv.range_scan(records(spark, d), "wiki", "page/", "page0", 50).select(*PLAIN)
+    return filled(kv.range_scan(table(spark, d, "records"), "wiki", "page/", "page0", 50)).select(*PLAIN)
 
 
 def kv_range_open(spark, d):
-    return kv.range_scan(records(spark, d), None, limit=5000).select(*PLAIN)
+    return filled(kv.range_scan(table(spark, d, "records"), None, limit=5000)).select(*PLAIN)
 
 
 def kv_page(spark, d):
-    return kv.page(records(spark, d), "documents", "doc-0000000040", 25).select(*PLAIN)
+    return filled(kv.page(table(spark, d, "records"), "documents", "doc-0000000040", 25)).select(*PLAIN)
 
 
 def kv_collections(spark, d):
-    return kv.collections(records(spark, d))
+    return kv.collections(table(spark, d, "records"))
 
 
 def metadata_filter(spark, d):
-    return kv.filter_metadata(records(spark, d), {"lang": "en", "source": "api"}).select(*PLAIN)
+    return filled(kv.filter_metadata(table(spark, d, "records"), {"lang": "en", "source": "api"})).dropDuplicates(["collection", "key"]).select(*PLAIN)
 
 
 def semantic_predicate(spark, d):

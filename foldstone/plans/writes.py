@@ -11,7 +11,7 @@ from foldstone.functions import embed, text
 from foldstone.model import table
 from foldstone.operators import feed, routing, state, stats, vector
 from foldstone.plans import data_problems
-from foldstone.plans.inputs import DOT, ENTRIES, HASH60, LOG, STATE, entries, event_log, first_vector, records, vector_queries
+from foldstone.plans.inputs import DOT, ENTRIES, HASH60, LOG, STATE, entries, event_log, first_vector, first_vectors, records, vector_queries
 from foldstone.runtime import shared_folder
 from foldstone.sources import requests
 from foldstone.streaming import tables
@@ -77,7 +77,7 @@ def vector_overfetch(spark, d):
 
 
 def vector_topk_batch(spark, d):
-    return vector.top_k_batch(entries(spark, d), vector_queries(spark, d, 50), 10).select("qid", "key", "rank", F.round("score", 6).alias("score"))
+    return vector.top_k_batch(entries(spark, d), vector_queries(spark, d), 10).select("qid", "key", "rank", F.round("score", 6).alias("score"))
 
 
 def vector_dim_mismatch(spark, d):
@@ -92,28 +92,28 @@ def l2_normalize(spark, d):
 
 
 def _lists(spark, d, n=16):
-    return [list(r["vector"]) for r in vector_queries(spark, d, n).orderBy("qid").collect()]
+    return first_vectors(spark, d, n)
 
 
 def ivf_topk_fixed(spark, d):
     centroids = _lists(spark, d)
     lists = vector.assign_lists(entries(spark, d), centroids)
-    return vector.ivf_top_k(lists, vector_queries(spark, d, 50), centroids, 10).select("qid", "key", "rank", F.round("score", 6).alias("score"))
+    return vector.ivf_top_k(lists, vector_queries(spark, d), centroids, 10).select("qid", "key", "rank", F.round("score", 6).alias("score"))
 
 
 def ivf_topk_buffered(spark, d):
     centroids, all_entries = _lists(spark, d), entries(spark, d)
     waiting = F.col("metadata")["label"] == "0"
     lists = vector.assign_lists(all_entries.filter(~waiting), centroids)
-    return vector.ivf_top_k(lists, vector_queries(spark, d, 50), centroids, 10, buffered=all_entries.filter(waiting)).select("qid", "key", "rank", F.round("score", 6).alias("score"))
+    return vector.ivf_top_k(lists, vector_queries(spark, d), centroids, 10, buffered=all_entries.filter(waiting)).select("qid", "key", "rank", F.round("score", 6).alias("score"))
 
 
 def ivf_topk_trained(spark, d):
     rows = entries(spark, d)
     centroids = vector.fit_lists(rows, 16)
     if centroids is None:
-        return vector.top_k_batch(rows, vector_queries(spark, d, 50), 10)
-    return vector.ivf_top_k(vector.assign_lists(rows, centroids), vector_queries(spark, d, 50), centroids, 10)
+        return vector.top_k_batch(rows, vector_queries(spark, d), 10)
+    return vector.ivf_top_k(vector.assign_lists(rows, centroids), vector_queries(spark, d), centroids, 10)
 
 
 def slot_assign(spark, d):
@@ -285,8 +285,8 @@ def _ivf(waiting: str) -> str:
       homes AS (SELECT e.vec_id, c.list, row_number() OVER (PARTITION BY e.vec_id ORDER BY {near} DESC, c.list) AS place FROM entries e, c),
       found AS (
         SELECT q.vec_id AS qid, e.key, {pair} AS s FROM entries e JOIN homes h ON h.vec_id = e.vec_id AND h.place = 1
-        JOIN homes p ON p.list = h.list AND p.place <= 4 JOIN entries q ON q.vec_id = p.vec_id WHERE q.vec_id < 50 AND NOT ({waiting})
-        UNION ALL SELECT q.vec_id, e.key, {pair} FROM entries e, entries q WHERE q.vec_id < 50 AND {waiting})
+        JOIN homes p ON p.list = h.list AND p.place <= 4 JOIN entries q ON q.vec_id = p.vec_id WHERE q.vec_id % 100 = 0 AND NOT ({waiting})
+        UNION ALL SELECT q.vec_id, e.key, {pair} FROM entries e, entries q WHERE q.vec_id % 100 = 0 AND {waiting})
       {_TOP}"""
 
 
@@ -328,7 +328,7 @@ SQL = {
     "vector_topk_exact": f"WITH {ENTRIES}, {_SCORED} SELECT key, round(s, 6) AS score FROM scored ORDER BY s DESC, key LIMIT 10",
     "vector_topk_filtered": f"WITH {ENTRIES}, {_SCORED} SELECT key, round(s, 6) AS score FROM scored WHERE label = 3 ORDER BY s DESC, key LIMIT 10",
     "vector_overfetch": f"WITH {ENTRIES}, {_SCORED}, best AS (SELECT * FROM scored ORDER BY s DESC, key LIMIT 40) SELECT key, round(s, 6) AS score FROM best WHERE label = 3 ORDER BY s DESC, key LIMIT 10",
-    "vector_topk_batch": f"WITH {ENTRIES}, found AS (SELECT q.vec_id AS qid, e.key, {DOT.format(a='e.vector', b='q.vector')} AS s FROM entries e, entries q WHERE q.vec_id < 50) {_TOP}",
+    "vector_topk_batch": f"WITH {ENTRIES}, found AS (SELECT q.vec_id AS qid, e.key, {DOT.format(a='e.vector', b='q.vector')} AS s FROM entries e, entries q WHERE q.vec_id % 100 = 0) {_TOP}",
     "vector_dim_mismatch": f"WITH {ENTRIES}, {_SCORED} SELECT key, CASE WHEN label = 0 THEN -1 ELSE round(s, 6) END AS score FROM scored",
     "l2_normalize": f"""WITH {ENTRIES}, n AS (SELECT key, vector AS v, sqrt({DOT.format(a='vector', b='vector')}) AS norm FROM entries)
       SELECT key, round(v[1] / norm, 6) AS v0, round(v[32] / norm, 6) AS v31, round(v[64] / norm, 6) AS v63 FROM n""",
