@@ -10,7 +10,7 @@ TRUE = ("1", "true", "yes", "on")
 _ENV = re.compile(r"\$\{(\w+)\}")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Settings:
     """What an engine can be told; the values are the usual ones."""
 
@@ -50,7 +50,7 @@ def parse(text: str, environment: dict[str, str] | None = None) -> Settings:
     """Settings from lines ``key: value``, nested by indent or dotted; the last part of a
     key names the setting, unknown ones are passed over. A bad number is an error."""
     known = {f.name: type(f.default) for f in fields(Settings)}
-    out, problems = Settings(), []
+    out, problems = {}, []
     for line in text.splitlines():
         bare = re.sub(r"(^|\s)#.*$", "", line).strip()
         key, colon, value = bare.partition(":")
@@ -59,12 +59,12 @@ def parse(text: str, environment: dict[str, str] | None = None) -> Settings:
             continue
         value = expand(value.strip().strip("\"'"), environment)
         try:
-            setattr(out, name, parse_bool(value) if known[name] is bool else known[name](value))
+            out[name] = parse_bool(value) if known[name] is bool else known[name](value)
         except ValueError:
             problems.append(f"{name}: {value!r}")
     if problems:
         raise ValueError("bad settings: " + ", ".join(problems))
-    return out
+    return Settings(**out)
 
 
 def load(path: str, environment: dict[str, str] | None = None) -> Settings:

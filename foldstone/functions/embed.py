@@ -133,7 +133,7 @@ class OnnxTextEmbedder:
             def one(t: str | None):
                 if not t:
                     return None
-                row = [ids["[CLS]"], *piece_ids(t, ids, most - 2), ids["[SEP]"]]
+                row = [ids["[CLS]"], *piece_ids(t, ids, max(0, most - 2)), ids["[SEP]"]]
                 feed = {"input_ids": [row], "attention_mask": [[1] * len(row)], "token_type_ids": [[0] * len(row)]}
                 states = session.run(None, {k: np.array(v, np.int64) for k, v in feed.items() if k in names})[0][0]
                 v = states.mean(axis=0) if states.ndim == 2 else states
@@ -162,7 +162,7 @@ def embedder(backend: str = "auto", dimensions: int = 32, **model) -> Embedder:
                 raise
     elif backend == "onnxruntime":
         raise ValueError("onnxruntime needs model_path and vocabulary_path")
-    return HashEmbedder(dimensions)
+    return VectorizedHashEmbedder(dimensions)
 
 
 def image_reference(metadata: Column) -> Column:

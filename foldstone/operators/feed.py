@@ -281,11 +281,12 @@ def current_state(feed: Feed, hot: int = HOT, span: int = SLICE) -> DataFrame:
     return quiet.unionByName(hot_state).select(*keys, F.col("s.seq").alias("seq"), F.col("s.version").alias("version"), F.col("s.mid").alias("mutation_id"))
 
 
-def rebuild(mutations: DataFrame, hot: int = HOT, span: int = SLICE) -> DataFrame:
+def rebuild(mutations: DataFrame, hot: int = HOT, span: int = SLICE, feed: Feed | None = None) -> DataFrame:
     """The full current records: the fold decides by ids alone, and the winners' keys and
     sequence numbers then fetch the records, so bodies are shuffled only once. Sequence
-    numbers need be unique within a key only."""
-    won = current_state(through_files(mutations), hot, span).select(F.col("collection").alias("w_collection"), F.col("key").alias("w_key"), F.col("seq").alias("w_seq"))
+    numbers need be unique within a key only. ``feed`` is that of ``mutations``, if it is
+    at hand or small."""
+    won = current_state(feed or through_files(mutations), hot, span).select(F.col("collection").alias("w_collection"), F.col("key").alias("w_key"), F.col("seq").alias("w_seq"))
     named = mutations.filter(operation("op") == "P").withColumn("collection", collection_of())
     at = (F.col("collection") == F.col("w_collection")) & (F.col("key") == F.col("w_key")) & (F.col("seq") == F.col("w_seq"))
     rows = named.join(won, at, "left_semi")

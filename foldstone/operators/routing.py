@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from foldstone.functions.embed import hash60
-from foldstone.model import collection_of, text_or_empty
+from foldstone.model import NODE, RECORD, collection_of, text_or_empty
 from foldstone.operators.kv import is_semantic
 
 SLOTS, VIRTUAL = 4096, 64
@@ -105,7 +106,7 @@ def moved_slots(before: DataFrame, after: DataFrame, slots: int = SLOTS, virtual
     return old.join(new, "slot_id").filter("from_id <> to_id")
 
 
-def migration_plan(records: DataFrame, nodes: DataFrame, local_id: str, pending: DataFrame | None = None, slots: int = SLOTS, virtual: int = VIRTUAL) -> DataFrame:
+def migration_plan(records: DataFrame, nodes: DataFrame, local_id: str, pending: DataFrame | None = None, slots: int = SLOTS, virtual: int = VIRTUAL, now_ms: int = 0) -> DataFrame:
     """Tasks for every record whose primary is another node, but for those that are
     pending or wait for their delayed delete (R5, F5)."""
     owners = F.broadcast(slot_owners(nodes, slots, virtual))
@@ -115,7 +116,7 @@ def migration_plan(records: DataFrame, nodes: DataFrame, local_id: str, pending:
     tasks = rows.filter(F.col("target_id") != local_id).join(names, "target_id").dropDuplicates(["collection", "key"])
     if pending is not None:
         tasks = tasks.join(pending.select("collection", "key"), ["collection", "key"], "left_anti")
-    return tasks.withColumns({"attempts": F.lit(0), "state": F.lit("pending"), "delete_after_unix_ms": F.lit(0).cast("bigint")})
+    return tasks.withColumns({"attempts": F.lit(0), "state": F.lit("pending"), "migration_epoch": F.lit(now_ms).cast("bigint"), "delete_after_unix_ms": F.lit(0).cast("bigint")})
 
 
 def step_tasks(tasks: DataFrame, results: DataFrame, now_ms: int, max_retries: int = 5, delete_delay_ms: int = 300_000) -> DataFrame:
@@ -136,10 +137,57 @@ def due_deletes(tasks: DataFrame, routes: DataFrame, now_ms: int) -> DataFrame:
     return tasks.filter((F.col("state") == "delete_pending") & (F.col("delete_after_unix_ms") <= now_ms)).join(remote, ["collection", "key"], "left_semi")
 
 
+def apply_due_deletes(rows: DataFrame, due: DataFrame) -> DataFrame:
+    """Records, or index entries, without those whose delayed delete is due."""
+    gone = due.select(F.col("collection").alias("d_collection"), F.col("key").alias("d_key"))
+    return rows.join(gone, (collection_of() == F.col("d_collection")) & (F.col("key") == F.col("d_key")), "left_anti")
+
+
+def append_members(nodes: DataFrame, path: str, version: int) -> None:
+    """A membership as another version of the table of nodes."""
+    nodes.select(*NODE.fieldNames()).write.mode("append").parquet(f"{path}/version={version}")
+
+
+def members_at(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The nodes of a version, or of the last."""
+    table = spark.read.schema(StructType([*NODE.fields, StructField("version", LongType())])).parquet(path)
+    at = version if version is not None else table.agg(F.max("version")).head()[0]
+    return table.filter(F.col("version") == F.lit(at)).drop("version")
+
+
+def replan(records: DataFrame, path: str, local_id: str, pending: DataFrame | None = None, **ring) -> DataFrame:
+    """Tasks for the newest membership, none of which is pending already."""
+    return migration_plan(records, members_at(records.sparkSession, path), local_id, pending, **ring)
+
+
+TASK = StructType(
+    [
+        *RECORD.fields,
+        *[StructField(f"target_{n}", t) for n, t in (("id", StringType()), ("host", StringType()), ("port", IntegerType()))],
+        StructField("semantic", BooleanType()),
+        StructField("attempts", LongType()),
+        StructField("migration_epoch", LongType()),
+        StructField("delete_after_unix_ms", LongType()),
+    ]
+)
+
+
+def write_tasks(tasks: DataFrame, path: str) -> None:
+    """Tasks as JSON, one a line."""
+    tasks.select(TASK.fieldNames()).write.mode("overwrite").json(path)
+
+
+def read_tasks(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Tasks from JSON lines or, ``array``, files with one array each (A12): those with a time
+    for their delete wait for it, the others are pending; what is absent counts as 0 or ""."""
+    rows = spark.read.schema(TASK).option("multiLine", array).json(path)
+    zero = {f.name: False if f.dataType == BooleanType() else 0 if f.dataType in (LongType(), IntegerType()) else "" for f in TASK.fields if f.name != "metadata"}
+    waits = F.when(F.col("delete_after_unix_ms") > 0, "delete_pending").otherwise("pending")
+    return rows.fillna(zero).withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).withColumn("state", waits)
+
+
 def demo_records(spark: SparkSession, existing: DataFrame | None = None) -> DataFrame:
     """Three short records for an empty store; none if there is any record."""
-    from foldstone.model import RECORD
-
     rows = [
         ("documents", "demo-1", "Routes and gateways", "How a gateway finds the node that owns a key.", {"domain": "gateway", "lang": "en"}, 1, 0, "demo:1"),
         ("documents", "demo-2", "Logs and snapshots", "A store is its log, folded from the last snapshot on.", {"domain": "storage", "lang": "en"}, 1, 0, "demo:2"),

@@ -9,11 +9,11 @@ from foldstone.functions.embed import Embedder, record_text
 from foldstone.functions.text import clamp_top_k, keyword_score, matches_filters, snippet
 from foldstone.model import collection_of
 from foldstone.operators.kv import in_collection
-from foldstone.operators.vector import top_k_batch
+from foldstone.operators.vector import assign_lists, fit_lists, ivf_top_k, top_k_batch
 
 SCAN_LIMIT = 1000
-#: Queries answered by keywords in one call; each is a pass of its own over the texts.
-MOST_DEGRADED = 100
+#: Queries answered by keywords in one pass over the texts.
+DEGRADED_BLOCK = 100
 
 
 def keyword_search(records: DataFrame, query: str, k: int, collection: str | None = None, filters: dict[str, str] | None = None, scan_limit: int | None = SCAN_LIMIT) -> DataFrame:
@@ -42,35 +42,41 @@ def embed_records(records: DataFrame, embedder: Embedder) -> DataFrame:
     return rows.filter("vector is not null").select(collection_of().alias("collection"), "key", "metadata", "vector")
 
 
-def semantic_search(records: DataFrame, index: DataFrame, queries: DataFrame, embedder: Embedder, k: int, collection: str | None = None, filters: dict[str, str] | None = None, degraded: bool = False) -> DataFrame:
+def semantic_search(records: DataFrame, index: DataFrame, queries: DataFrame, embedder: Embedder, k: int, collection: str | None = None, filters: dict[str, str] | None = None, degraded: bool = False, lists: int = 0, probes: int = 0) -> DataFrame:
     """Hits for a table of queries (qid, query), with ``degraded``.
 
-    Queries are embedded, matched against the filtered entries and joined to their
-    records. ``degraded`` ranks by keywords instead, as happens where embedding is
-    not to be had; more than ``MOST_DEGRADED`` queries are then an error.
+    Queries are embedded, matched against the filtered entries (through ``lists`` trained
+    lists, if set) and joined to their records. ``degraded`` ranks by keywords instead, as
+    happens where embedding is not to be had: queries are taken ``DEGRADED_BLOCK`` at a time,
+    each block in one pass over the texts.
     """
     k = clamp_top_k(k)
     own = records.filter(in_collection(collection))
+    asked = queries.select("qid", "query")
     if degraded:
-        asked = queries.select("qid", "query")
         title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
         rows = own.filter(matches_filters(F.col("metadata"), filters)).select("key", title.alias("title"), body.alias("body"))
-        found = None
-        wanted = asked.limit(MOST_DEGRADED + 1).collect()
-        if len(wanted) > MOST_DEGRADED:
-            raise ValueError(f"more than {MOST_DEGRADED} queries")
-        for r in wanted:
-            scored = rows.select("key", F.lit(r["qid"]).alias("qid"), keyword_score(F.col("title"), F.col("body"), F.lit(r["query"])).alias("score")).filter("score > 0")
-            top = scored.groupBy("qid", "key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "key").limit(k)
-            found = top if found is None else found.unionByName(top)
+        n, found = asked.count(), None
+        blocks = max(1, -(-n // DEGRADED_BLOCK))
+        for i in range(blocks):
+            part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+            block = [F.struct(F.lit(r["qid"]).cast("long").alias("qid"), F.lit(r["query"] or "").alias("query")) for r in part.collect()]
+            if not block:
+                continue
+            scores = F.array(*[F.struct(b["qid"].alias("qid"), keyword_score(F.col("title"), F.col("body"), b["query"]).alias("score")) for b in block])
+            got = rows.select("key", F.inline(F.filter(scores, lambda x: x["score"] > 0)))
+            found = got if found is None else found.unionByName(got)
         if found is None:
-            found = rows.select("key", F.lit(0).alias("qid"), F.lit(0.0).alias("score")).limit(0)
-        best = Window.partitionBy("qid").orderBy(F.desc("score"), "key")
-        ranked = found.withColumn("rank", F.row_number().over(best)).join(asked, "qid")
+            found = rows.select("key", F.lit(0).cast("long").alias("qid"), F.lit(0.0).alias("score")).limit(0)
+        top = found.groupBy("qid", "key").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("qid").orderBy(F.desc("score"), "key")  # a rank limit: each task keeps k a query
+        ranked = top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).join(asked, "qid")
         return hits_with_query(ranked, own, True)
     entries = index.filter(in_collection(collection)).filter(matches_filters(F.col("metadata"), filters))
-    asked = queries.select("qid", "query", embedder.embed(F.col("query")).alias("vector")).filter("vector is not null")
-    ranked = top_k_batch(entries, asked, k).join(queries.select("qid", "query"), "qid")
+    embedded = queries.select("qid", embedder.embed(F.col("query")).alias("vector")).filter("vector is not null")
+    centroids = fit_lists(entries, lists) if lists else None
+    ranked = ivf_top_k(assign_lists(entries, centroids), embedded, centroids, k, probes) if centroids else top_k_batch(entries, embedded, k)
+    ranked = ranked.join(queries.select("qid", "query"), "qid")
     return hits_with_query(ranked, own, False)
 
 

@@ -71,7 +71,7 @@ def fold_stacks(samples: DataFrame, stack: str = "stack") -> DataFrame:
 
 def roll_up(folded: DataFrame, separator: str = ";") -> DataFrame:
     """``prefix, depth, samples`` of every node of the tree of frames, the root as ""
-    with depth 0 (G8); siblings are ranked by samples (H5)."""
+    with depth 0 (G8)."""
     frames = F.split("stack", separator)
     depths = F.sequence(F.lit(0), F.size(frames))
     nodes = folded.select("samples", frames.alias("frames"), F.explode(depths).alias("depth"))
@@ -79,12 +79,27 @@ def roll_up(folded: DataFrame, separator: str = ";") -> DataFrame:
     return nodes.select(F.when(F.col("depth") > 0, prefix).otherwise("").alias("prefix"), "depth", "samples").groupBy("prefix", "depth").agg(F.sum("samples").alias("samples"))
 
 
+def rank_siblings(rolled: DataFrame, separator: str = ";") -> DataFrame:
+    """``roll_up`` with ``parent`` and ``rank``: the place among the children of a node, most
+    samples first, ties by name (H5). The root is its own parent, with rank 1."""
+    frames = F.split("prefix", separator)
+    parent = F.when(F.col("depth") > 1, F.array_join(F.slice(frames, 1, F.col("depth") - 1), separator)).otherwise("")
+    order = Window.partitionBy("parent", F.least("depth", F.lit(1)), "depth").orderBy(F.desc("samples"), "prefix")
+    return rolled.withColumn("parent", parent).withColumn("rank", F.row_number().over(order))
+
+
+def error_histogram(log: DataFrame, ok: Column, error: Column) -> DataFrame:
+    """``error, requests`` of the requests that failed, most first."""
+    return log.filter(~ok).groupBy(F.coalesce(error.cast("string"), F.lit("")).alias("error")).agg(F.count("*").alias("requests")).orderBy(F.desc("requests"), "error")
+
+
 def collapse_profile(lines: DataFrame) -> DataFrame:
     """Profiler text (``line_no, line``, samples apart by blank lines, innermost frame
     first) to ``stack`` per sample, outermost first (G7). A sample's frames are few."""
     blank = F.trim("line") == ""
     sample = F.sum(blank.cast("int")).over(Window.partitionBy("file").orderBy("line_no"))
-    frame = F.trim(F.regexp_extract("line", r"^\s*[0-9a-fA-F]+\s+(.+?)\s+\(.*\)\s*$", 1))
+    # an indented line: address, frame and, after white space, perhaps a module in brackets
+    frame = F.trim(F.regexp_extract("line", r"^\s+[0-9a-fA-F]+\s+(.+?)(?:\s+\(.*|\s*)$", 1))
     rows = lines.withColumn("sample", sample).withColumn("frame", frame).filter((F.col("frame") != "") & (F.col("frame") != "[unknown]"))
     per = rows.groupBy("file", "sample").agg(F.array_sort(F.collect_list(F.struct((-F.col("line_no")).alias("o"), "frame"))).alias("f"))
     return per.select(F.array_join(F.transform("f", lambda x: x["frame"]), ";").alias("stack"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldstone.plans import data_problems, more, reads, writes
+from foldstone.plans import data_problems, more, oracles, reads, service, writes
 
-MODULES = (data_problems, reads, writes, more)
+MODULES = (data_problems, reads, writes, more, service, oracles)
 #: Columns that come out of the SQL narrower than bigint.
 NARROW = {
     "kv_multi_get": ("ord",),

@@ -1,17 +1,18 @@
 """Framed files as Spark data sources.
 
 ``framed_log`` and ``framed_vectors`` read one partition per file, since frames can't
-be found from the middle of one, and write one file per task.
+be found from the middle of one, a frame at a time, and write one file per task. Paths are
+local ones or addresses of any file system that Arrow knows.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, FloatType, Row, StructField, StructType
 
@@ -36,27 +37,39 @@ def _magic(options: dict) -> bytes:
     return options["magic"].encode().decode("unicode_escape").encode() if "magic" in options else wire.MAGIC
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def _files(system: fs.FileSystem, path: str) -> list[str]:
+    """A file, or those of a folder in order of their names."""
+    info = system.get_file_info(path)
+    if info.type == fs.FileType.File:
+        return [path]
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith(ENDING))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, vectors: bool):
         self.path, self.magic, self.vectors = options["path"], _magic(options), vectors
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(glob.glob(f"{self.path}/*{ENDING}")) if os.path.isdir(self.path) else glob.glob(self.path)
+        found = _files(*_system(self.path))
         return [OneFile(p, i) for i, p in enumerate(found)] or [OneFile("", 0)]  # no file is an empty log
 
     def read(self, part: OneFile) -> Iterator[tuple]:
         if not part.path:
             return
         names = RECORD.fieldNames()
-        with open(part.path, "rb") as f:
-            data = f.read()
-        for i, payload in enumerate(wire.frames(data, self.magic)):
-            if self.vectors:
-                record, vector = wire.decode_vector_entry(payload)
-                yield (*[record[n] for n in names], vector)
-            else:
-                op, record = wire.decode_log_entry(payload)
-                yield ((part.number << 40) + i, op, *[record[n] for n in names])
+        with _system(self.path)[0].open_input_stream(part.path) as f:
+            for i, payload in enumerate(wire.frames(f, self.magic)):
+                if self.vectors:
+                    record, vector = wire.decode_vector_entry(payload)
+                    yield (*[record[n] for n in names], vector)
+                else:
+                    op, record = wire.decode_log_entry(payload)
+                    yield ((part.number << 40) + i, op, *[record[n] for n in names])
 
 
 class _Writer(DataSourceWriter):
@@ -65,9 +78,10 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows: Iterator[Row]) -> Written:
         # a task that is run again writes another file; only committed ones get their name
-        target, some = f"{self.path}/{uuid.uuid4().hex}", False
-        os.makedirs(self.path, exist_ok=True)
-        with open(target, "wb") as f:
+        system, folder = _system(self.path)
+        target, some = f"{folder}/{uuid.uuid4().hex}", False
+        system.create_dir(folder)
+        with system.open_output_stream(target) as f:
             f.write(self.magic)
             for row in rows:
                 r, some = row.asDict(), True
@@ -75,18 +89,20 @@ class _Writer(DataSourceWriter):
                 f.write(wire.frame(payload))
         if some:
             return Written(target)
-        os.remove(target)
+        system.delete_file(target)
         return Written(None)
 
     def commit(self, messages: list[Written | None]) -> None:
-        start = len(glob.glob(f"{self.path}/*{ENDING}"))
+        system, folder = _system(self.path)
+        start = len(_files(system, folder))
         for i, m in enumerate(x for x in messages if x and x.path):
-            os.rename(m.path, f"{self.path}/{start + i:08d}{ENDING}")
+            system.move(m.path, f"{folder}/{start + i:08d}{ENDING}")
 
     def abort(self, messages: list[Written | None]) -> None:
+        system, _ = _system(self.path)
         for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and m.path and system.get_file_info(m.path).type == fs.FileType.File:
+                system.delete_file(m.path)
 
 
 class FramedLog(DataSource):
@@ -124,3 +140,11 @@ class FramedVectors(FramedLog):
 def register(spark) -> None:
     spark.dataSource.register(FramedLog)
     spark.dataSource.register(FramedVectors)
+
+
+def rewrite_text_log(spark, source: str, target: str) -> None:
+    """A log of older text rows as a framed one; rows that are malformed are left out (A4)."""
+    from foldstone.sources import legacy
+
+    register(spark)
+    legacy.read_log(spark, source).sortWithinPartitions("seq").write.format("framed_log").mode("append").save(target)

@@ -78,10 +78,22 @@ def render_record() -> Column:
 def render_hits(hits: DataFrame) -> DataFrame:
     """``qid, answer``: each query's hits in order of rank, at most 50."""
     hit = F.struct("rank", "key", "title", "snippet", "score", "metadata")
-    per = hits.groupBy("qid").agg(F.array_sort(F.collect_list(hit)).alias("hits"), F.any_value("degraded").alias("degraded"))
+    per = hits.groupBy("qid").agg(F.array_sort(F.collect_list(hit), lambda a, b: a["rank"] - b["rank"]).alias("hits"), F.any_value("degraded").alias("degraded"))
     return per.select("qid", F.to_json(F.struct("degraded", F.transform("hits", lambda h: h.dropFields("rank")).alias("hits"))).alias("answer"))
 
 
+def render_route() -> Column:
+    """A row of ``routing.route`` as JSON."""
+    primary = F.struct(F.col("primary_id").alias("id"), F.col("primary_host").alias("host"), F.col("primary_port").alias("port"))
+    return F.to_json(F.struct("collection", "key", "slot_id", "local_owner", primary.alias("primary"), "replicas"))
+
+
+def render_health(metrics: DataFrame, healthy: Column) -> DataFrame:
+    """``answer``: a row of request metrics as JSON with a status."""
+    status = F.when(healthy, "ok").otherwise("unavailable")
+    return metrics.select(F.to_json(F.struct(status.alias("status"), *metrics.columns)).alias("answer"))
+
+
 def range_request(query_string: Column) -> Column:
     """Collection, bounds, limit and filters of a range request's query string."""
     p = query_parameters(query_string)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foldstone.model import MUTATION, RECORD, collection_of, text_or_empty
 
@@ -30,7 +32,13 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MUTATION).parquet(path)
 
 
-def deliver(tasks: DataFrame, path: str) -> None:
-    """Records of migration tasks, into one folder per target node (A18); for streams,
-    to be called from ``foreachBatch``."""
-    tasks.write.mode("append").partitionBy("target_id").parquet(path)
+def deliver(tasks: DataFrame, path: str) -> DataFrame:
+    """Records of migration tasks, into one folder per target node, and how that went:
+    ``collection, key, ok``, as ``routing.step_tasks`` takes it (A18). A write that fails leaves
+    nothing behind and fails all of its tasks; for streams, to be called from ``foreachBatch``."""
+    try:
+        tasks.write.mode("append").partitionBy("target_id").parquet(path)
+        ok = True
+    except PySparkException:
+        ok = False
+    return tasks.select("collection", "key", F.lit(ok).alias("ok"))

@@ -6,8 +6,10 @@ generated classes are needed.
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 #: Nine bytes at the head of a framed file; give another to read files of other writers.
 MAGIC = b"FSTN-PB1\n"
@@ -138,17 +140,17 @@ def frame(payload: bytes) -> bytes:
     return struct.pack("<I", len(payload)) + payload
 
 
-def frames(data: bytes, magic: bytes = MAGIC) -> Iterator[bytes]:
-    """The payloads of a framed file; a missing head or a cut-off frame is an error."""
-    if not data.startswith(magic):
+def frames(source: bytes | BinaryIO, magic: bytes = MAGIC) -> Iterator[bytes]:
+    """The payloads of a framed file, one at a time; a missing head or a cut-off frame is
+    an error."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    if stream.read(len(magic)) != magic:
         raise ValueError("not a framed file: its head is missing")
-    at = len(magic)
-    while at < len(data):
-        if len(data) - at < 4:
+    while head := stream.read(4):
+        if len(head) < 4:
             raise ValueError("cut off within a frame's size")
-        (size,) = struct.unpack_from("<I", data, at)
-        at += 4
-        if size > len(data) - at:
+        (size,) = struct.unpack("<I", head)
+        payload = stream.read(size)
+        if len(payload) < size:
             raise ValueError("cut off within a frame")
-        yield data[at : at + size]
-        at += size
+        yield payload
