@@ -146,3 +146,13 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         (F.sum("fill") / (F.count("*") * capacity)).alias("used"),
         F.max("fill").alias("fullest"),
     )
+
+
+def faults(sizes: DataFrame, packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``kind, id`` of containers that are too full and of texts that were lost, changed in
+    size or split without need: none."""
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("fill")).filter(F.col("fill") > capacity)
+    want = sizes.select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).cast("bigint").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))).alias("parts"))
+    have = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("held"), F.count("*").alias("in_parts"))
+    wrong = want.join(have, "doc_id", "full").filter("not (n <=> held and parts <=> in_parts)")
+    return full.select(F.lit("container").alias("kind"), F.col("container").alias("id")).unionByName(wrong.select(F.lit("text").alias("kind"), F.col("doc_id").alias("id")))

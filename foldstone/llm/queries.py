@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldstone.llm import abuse, ann, cluster, mix, pack, split
+from foldstone.llm import abuse, ann, cluster, mix, pack, split, tokens
 from foldstone.model import collection_of, table, text_or_empty
+from foldstone.runtime import cut
 
 
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +81,26 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p6_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and texts that break a condition of the packing: none."""
+    sizes = cut(table(spark, sf_dir, "documents").select("doc_id", tokens.n_tokens("text").alias("n_tokens")))
+    return pack.faults(sizes, pack.pack(sizes))
+
+
+def p7_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix as large as all documents together, which small sources can't fill."""
+    counted = mix.count_documents(table(spark, sf_dir, "documents"))
+    total = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
+    return mix.reached(counted, table(spark, sf_dir, "mix_targets"), total_tokens=total)
+
+
+def p7_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of both mixes that come out more often than they may: none."""
+    counted, targets = mix.count_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
+    total = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
+    return mix.faults(counted, targets).unionByName(mix.faults(counted, targets, total_tokens=total))
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
@@ -105,8 +126,11 @@ QUERIES = {
     "p5_outline_faults": p5_outline_faults,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_faults": p6_faults,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_capped": p7_capped,
+    "p7_faults": p7_faults,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
@@ -141,6 +165,8 @@ SQL: dict[str, str] = {
     "p5_pieces": f"""WITH RECURSIVE {_CUTS}, all_ends AS (SELECT DISTINCT collection, key, c AS cut_at FROM cut WHERE c IS NOT NULL UNION SELECT collection, key, size FROM bodies),
       placed AS (SELECT *, row_number() OVER w - 1 AS piece, coalesce(lag(cut_at) OVER w - 200, 0) AS start FROM all_ends WINDOW w AS (PARTITION BY collection, key ORDER BY cut_at))
       SELECT p.collection, p.key, p.piece, p.start, p.cut_at, substr(b.body, p.start + 1, p.cut_at - p.start) AS content FROM placed p JOIN bodies b ON b.collection = p.collection AND b.key = p.key""",
+    "p6_faults": "SELECT '' AS kind, doc_id AS id FROM documents WHERE false",
+    "p7_faults": "SELECT doc_id, source FROM documents WHERE false",
     "p5_outline_faults": "SELECT DISTINCT collection, key FROM records WHERE false",
     "p2_found": f"WITH {_NEAR} SELECT DISTINCT collection, least(key, other) AS key_a, greatest(key, other) AS key_b FROM near WHERE cosine >= 0.85",
     "p2_nearest": f"WITH {_NEAR} SELECT collection, key, other AS neighbour, round(least(cosine, 1), 6) AS similarity, rank FROM near",

@@ -123,3 +123,25 @@ def test_mix_takes_other_columns(spark, small):
     d, t = table(spark, small, "documents"), table(spark, small, "mix_targets")
     clash = d.selectExpr("*", "1 as rate", "2 as tokens", "3 as share", "4 as repeats", "5 as n_tokens", "6 as target_share")
     assert sorted(map(tuple, mix.mix(clash, t).collect())) == sorted(map(tuple, mix.mix(d, t).collect()))
+
+
+def test_a_mix_larger_than_small_sources_allow(spark):
+    counted = docs(spark, [(i, "a", 10) for i in range(3000)] + [(10_000 + i, "b", 20) for i in range(300)] + [(20_000 + i, "c", 10) for i in range(1000)])
+    wanted = targets(spark, [("a", 0.4, 4), ("b", 0.4, 2), ("c", 0.2, 4), ("gone", 0.1, 1)])
+    rate = {r["source"]: r for r in mix.rates(counted, wanted, 60_000).collect()}
+    # b gives 12,000 of the 24,000 and more it should; a and c share 48,000 as two to one
+    assert rate["b"]["rate"] == 2 and rate["a"]["rate"] == pytest.approx(32_000 / 30_000) and rate["c"]["rate"] == pytest.approx(1.6)
+    assert rate["b"]["share"] == pytest.approx(0.2) and rate["gone"]["rate"] == 0
+    got = {r["source"]: r for r in mix.reached(counted, wanted, 0, 60_000).collect()}
+    assert got["b"]["gap"] == pytest.approx(0.2, abs=0.01) and sum(r["mixed_tokens"] for r in got.values()) == pytest.approx(60_000, rel=0.02)
+    assert {r["source"]: r["rate"] for r in mix.rates(counted, wanted, 10**9).collect()} == {"a": 4, "b": 2, "c": 4, "gone": 0}
+    assert mix.faults(counted, wanted, 0, 60_000).count() == 0 == mix.faults(counted, wanted).count()
+    assert mix.reached(counted.limit(0), wanted, 0, 100).count() == 4
+
+
+def test_packing_faults_are_seen(spark):
+    sizes = spark.createDataFrame([(1, 30), (2, 150), (3, None), (4, 40)], "doc_id bigint, n_tokens bigint")
+    packed = pack.pack(sizes, 100)
+    assert pack.faults(sizes, packed, 100).count() == 0
+    assert {r["id"] for r in pack.faults(sizes, packed.filter("doc_id <> 4"), 100).collect()} == {4}
+    assert pack.faults(sizes, packed.withColumn("container", F.lit(0).cast("bigint")), 100).collect()[0]["kind"] == "container"
