@@ -51,7 +51,8 @@ def rates(counted: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         order = Window.partitionBy(F.col("part").isNull()).orderBy("used_up", "source")
         before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         both = both.withColumn("level", (F.lit(float(total_tokens)) - F.coalesce(F.sum("most").over(before), F.lit(0))) / F.sum("part").over(after))
-        per_share = F.coalesce(F.min(F.when(F.col("level") <= F.col("used_up"), F.col("level"))), F.max("used_up"))
+        first = F.when(F.col("level") <= F.col("used_up"), F.col("used_up"))  # the first source that is not used up tells
+        per_share = F.coalesce(F.min_by("level", first), F.max("used_up"))
     totals = both.agg(F.sum("part").alias("shares"), per_share.alias("per_share"))
     # one row against one row per target
     joined = both.join(F.broadcast(totals), F.lit(True))
