@@ -25,3 +25,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("name", ["kv_get", "kv_range", "kv_range_open", "kv_page", "kv_prefix", "engine_get", "engine_range"])
+def test_filters_reach_the_scan(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    pushed = [x.split("]")[0] for x in plan.split("PushedFilters: [")[1:]]
+    assert pushed and any("key" in x or "collection" in x for x in pushed)

@@ -37,6 +37,14 @@ def test_profiles(spark):
     assert {(r["prefix"], r["depth"], r["samples"]) for r in stats.roll_up(folded).collect()} == {("", 0, 3), ("outer", 1, 2), ("outer;inner", 2, 2), ("alone", 1, 1)}
 
 
+def test_frames_with_and_without_module(spark):
+    lines = ["main 1 1.0:", " ffff start", " 4f f(int, char) (/bin/a b)", "zz not indented (x)", "  12   spaced name  ", "", " 1 [unknown]"]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(lines)], "file string, line_no int, line string")
+    assert [r["stack"] for r in stats.collapse_profile(df).collect()] == ["spaced name;f(int, char);start"]
+    ranked = stats.rank_siblings(stats.roll_up(spark.createDataFrame([("a;x", 1), ("a;y", 3), ("b", 4)], "stack string, samples bigint")))
+    assert {r["prefix"]: r["rank"] for r in ranked.collect()} == {"": 1, "a": 1, "b": 2, "a;y": 1, "a;x": 2}
+
+
 def stream_of(spark, df, path, parts=3):
     """A stream of the frame's rows in the order of seq, one file a batch."""
     rows = df.orderBy("seq").collect()
