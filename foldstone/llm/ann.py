@@ -221,10 +221,11 @@ def _ordered(sample: pa.Table, dimensions: int) -> tuple[np.ndarray, np.ndarray]
     return np.array(sample["collection"].to_pylist(), dtype=object), rows
 
 
-def fit(entries: DataFrame, dimensions: int = DIMENSIONS, probes: int = PROBES, size: int = LIST, max_lists: int = MAX_LISTS, cell: int = CELL, seed: int = 0) -> Index:
+def fit(entries: DataFrame, dimensions: int = DIMENSIONS, probes: int = PROBES, size: int = LIST, max_lists: int = MAX_LISTS, cell: int = CELL, seed: int = 0, coded: bool = True) -> Index:
     """Lists and codebooks of ``entries``, fitted on hash samples as the module says.
 
     Collections of fewer than two lists have one; there are at most ``max_lists / 2`` others.
+    Without ``coded`` there are no codebooks, and the index can only tell lists.
     """
     context, rng = entries.sparkSession.sparkContext, np.random.default_rng(seed)
     counts = entries.groupBy("collection").count()
@@ -252,6 +253,8 @@ def fit(entries: DataFrame, dimensions: int = DIMENSIONS, probes: int = PROBES,
             which = np.repeat(own["cell"].to_numpy(), [len(x) for x in centers])
             cells = coarse.get(c, np.ones((1, dimensions), np.float32))
             lists[c] = arrange(np.concatenate(centers), held * (sizes[c] / held.sum()), which, cells, probes)
+    if not coded:
+        return Index(lists, np.zeros((PARTS, CODES, dimensions // PARTS), np.float32), dimensions)
     names, rows = _ordered(_sampled(entries, BOOKS / max(1, total), seed + 3).toArrow(), dimensions)
     width, books = dimensions // PARTS, np.zeros((PARTS, CODES, dimensions // PARTS), np.float32)
     for c in dict.fromkeys(names):

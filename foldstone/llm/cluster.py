@@ -140,7 +140,7 @@ def pivots(rows: DataFrame, similar: float, member: float, least: int, dimension
     context = rows.sparkSession.sparkContext
     level, n, reach = rows.select("id", "collection", "vector", F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("length")), rows.count(), similar
     while n:
-        index = context.broadcast(ann.fit(level, dimensions))
+        index = context.broadcast(ann.fit(level, dimensions, coded=False))
         after = level.mapInArrow(_meet(index, dimensions), PACKED).groupBy("collection", "home").applyInArrow(_absorb(reach, dimensions), LEVEL).persist(StorageLevel.MEMORY_AND_DISK)
         left, reach = after.count(), member
         level.unpersist()  # what the entries came from is not of a level
